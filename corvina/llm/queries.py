@@ -7,16 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvina.llm.residue import residue_rows
 from corvina.llm.repeated import repeated_lines
 from corvina.tables import table
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue_rows(table(spark, folder, "materias")).select(F.col("key").alias("id"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines(table(spark, folder, "materias")).select(F.col("key").alias("id"), "linha")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_found": p7_found}
+    return {f.__name__: f for f in (p5_found, p7_found)}
 
 
 def oracle_sql() -> dict[str, str]:
