@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.llm.residue import residue_rows
+from corvina.llm.leakage import leak_report, leaked_items
 from corvina.llm.repeated import repeated_lines
+from corvina.llm.residue import residue_rows
+from corvina.llm.spam import spam_pages
 from corvina.tables import table
 
 
@@ -20,8 +22,21 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines(table(spark, folder, "materias")).select(F.col("key").alias("id"), "linha")
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_items(table(spark, folder, "documents"), table(spark, folder, "itens_avaliacao")).select("doc_id", "item_id")
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "itens_avaliacao")
+    return leak_report(leaked_items(table(spark, folder, "documents"), items), items)
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spam_pages(table(spark, folder, "documents")).where("spam").select(F.col("key").alias("doc_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p7_found)}
+    return {f.__name__: f for f in (p5_found, p7_found, p8_found, p8_report, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
