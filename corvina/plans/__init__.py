@@ -1,0 +1,17 @@
+"""Queries over the project's tables, and the SQL that says the same."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from corvina.plans import timestamps
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in timestamps.QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
