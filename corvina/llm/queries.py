@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvina.llm.leakage import leak_report, leaked_items
+from corvina.llm.names import name_pairs, same_names
 from corvina.llm.repeated import repeated_lines
 from corvina.llm.residue import residue_rows
 from corvina.llm.spam import spam_pages
@@ -18,6 +19,11 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue_rows(table(spark, folder, "materias")).select(F.col("key").alias("id"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = name_pairs(same_names(table(spark, folder, "materias")))
+    return pairs.select(F.col("source").alias("veiculo_id"), F.col("name_a").alias("autor_a"), F.col("name_b").alias("autor_b"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines(table(spark, folder, "materias")).select(F.col("key").alias("id"), "linha")
 
@@ -36,7 +42,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p7_found, p8_found, p8_report, p10_found)}
+    return {f.__name__: f for f in (p5_found, p6_found, p7_found, p8_found, p8_report, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
