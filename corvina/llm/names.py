@@ -67,10 +67,15 @@ def parts(name: str) -> list[str]:
         cut = loud.index(False)
         shown = shown[cut:] + shown[:cut]
     found = [w for x in shown for w in words(x)]
-    if any(_near(w, "agencia") or w == "ag" for w in [*found, *words(brackets)]):
-        kept = [w for w in found if w not in AGENCY and not _near(w, "agencia") and w not in PARTICLES]
+    if any(_agency(w) or w == "ag" for w in [*found, *words(brackets)]):
+        kept = [w for w in found if w not in AGENCY and not _agency(w) and w not in PARTICLES]
         return ["agencia", *kept]
-    return [w for w in found if w not in PARTICLES]
+    # One letter at the front is an initial, whatever it means inside a name.
+    return [w for i, w in enumerate(found) if w not in PARTICLES or (i == 0 and len(w) == 1 and len(found) > 1)]
+
+
+def _agency(word: str) -> bool:
+    return word.startswith("ag") and len(word) > 4 and _near(word, "agencia")
 
 
 def _halves(name: str) -> list[tuple[str, str]]:
@@ -78,10 +83,10 @@ def _halves(name: str) -> list[tuple[str, str]]:
 
 
 def _near(x: str, y: str) -> bool:
-    """Equal, or a slip apart: an edit (two in long words), neighbours swapped counting one."""
+    """Equal, or a slip apart: an edit, two from six letters and three from ten, neighbours swapped counting one."""
     if x == y:
         return True
-    most = 1 if min(len(x), len(y)) < 7 else 2
+    most = 1 + (min(len(x), len(y)) >= 6) + (min(len(x), len(y)) >= 10)
     if min(len(x), len(y)) < 4 or abs(len(x) - len(y)) > most:
         return False
     before, row = [], list(range(len(y) + 1))
@@ -106,7 +111,7 @@ def _given(x: str, y: str, known: frozenset | set) -> bool:
         return y[0] == x
     if NICKNAMES.get(x) == y or (len(x) >= 3 and (y.startswith(x) or y.endswith(x)) and x not in known):
         return True
-    return _near(x, y) and not (x in known and y in known)
+    return len(x) > 2 and _near(x, y) and not (x in known and y in known)
 
 
 def alike(a: list[str], b: list[str], known: frozenset | set = frozenset()) -> bool:
@@ -157,7 +162,7 @@ def _linked(similar: np.ndarray, cut: float) -> np.ndarray:
     return group
 
 
-def same_names(docs: DataFrame, name: str = "autor", source: str = "veiculo_id", cosine: float = 0.25, linkage: float = 0.45, first_names: int = 4) -> DataFrame:
+def same_names(docs: DataFrame, name: str = "autor", source: str = "veiculo_id", cosine: float = 0.15, linkage: float = 0.45, first_names: int = 4) -> DataFrame:
     """(source, name, group): spellings of one person or agency within a source share a group.
 
     Null and empty names, names of two people and names without letters are
