@@ -7,14 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvina.llm.boilerplate import furniture_lines
 from corvina.llm.leakage import leak_report, leaked_items
 from corvina.llm.names import name_pairs, same_names
 from corvina.llm.repeated import repeated_lines
 from corvina.llm.residue import residue_rows
 from corvina.llm.spam import spam_pages
+from corvina.session import hinted, stash
 from corvina.tables import table
 
 
+def _sound(spark: SparkSession, folder: str) -> DataFrame:
+    """materias without residue and error pages."""
+    rows = table(spark, folder, "materias")
+    residue = stash(residue_rows(rows).select(F.col("key").alias("id")))
+    return rows.join(hinted(residue), "id", "left_anti")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return furniture_lines(_sound(spark, folder)).select(F.col("key").alias("id"), "linha")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue_rows(table(spark, folder, "materias")).select(F.col("key").alias("id"))
 
@@ -42,7 +55,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p6_found, p7_found, p8_found, p8_report, p10_found)}
+    return {f.__name__: f for f in (p4_found, p5_found, p6_found, p7_found, p8_found, p8_report, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
