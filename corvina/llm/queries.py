@@ -13,6 +13,7 @@ from corvina.llm.names import name_pairs, same_names
 from corvina.llm.repeated import repeated_lines
 from corvina.llm.residue import residue_rows
 from corvina.llm.spam import spam_pages
+from corvina.llm.truncation import truncated, truncation_report
 from corvina.session import hinted, stash
 from corvina.tables import table
 
@@ -24,6 +25,14 @@ def _sound(spark: SparkSession, folder: str) -> DataFrame:
     return rows.join(hinted(residue), "id", "left_anti")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncated(_sound(spark, folder)).where("cut").select(F.col("key").alias("id"))
+
+
+def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation_report(truncated(_sound(spark, folder))).withColumnRenamed("source", "veiculo_id")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return furniture_lines(_sound(spark, folder)).select(F.col("key").alias("id"), "linha")
 
@@ -55,7 +64,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p5_found, p6_found, p7_found, p8_found, p8_report, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_report, p4_found, p5_found, p6_found, p7_found, p8_found, p8_report, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
