@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corvina.llm.boilerplate import furniture_lines
 from corvina.llm.leakage import leak_report, leaked_items
 from corvina.llm.names import name_pairs, same_names
+from corvina.llm.neardup import near_duplicates, row_pairs
 from corvina.llm.repeated import repeated_lines
 from corvina.llm.residue import residue_rows
 from corvina.llm.spam import spam_pages
@@ -33,6 +34,17 @@ def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     return truncation_report(truncated(_sound(spark, folder))).withColumnRenamed("source", "veiculo_id")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    # The stated half, less what a line of furniture taken for text may change; no pair lies near.
+    return row_pairs(*near_duplicates(_sound(spark, folder), width=3, similarity=0.48))
+
+
+def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document: five words, 0.8, as for training text in general."""
+    rows, _ = near_duplicates(_sound(spark, folder))
+    return rows.select(F.col("key").alias("id"), F.col("class").alias("classe"), F.col("group").alias("grupo"), "n_links")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return furniture_lines(_sound(spark, folder)).select(F.col("key").alias("id"), "linha")
 
@@ -64,7 +76,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p4_found, p5_found, p6_found, p7_found, p8_found, p8_report, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_groups, p4_found, p5_found, p6_found, p7_found, p8_found, p8_report, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
