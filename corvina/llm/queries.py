@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvina.llm.boilerplate import furniture_lines
 from corvina.llm.leakage import leak_report, leaked_items
+from corvina.llm.mixture import mix
 from corvina.llm.names import name_pairs, same_names
 from corvina.llm.neardup import near_duplicates, row_pairs
 from corvina.llm.repeated import repeated_lines
@@ -71,12 +72,24 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return leak_report(leaked_items(table(spark, folder, "documents"), items), items)
 
 
+#: Where the public tokenizers lie; a parameter of the operator.
+TOKENS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(table(spark, folder, "documents"), table(spark, folder, "pesos_mistura"), TOKENS)[0]
+
+
+def p9_selected(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(table(spark, folder, "documents"), table(spark, folder, "pesos_mistura"), TOKENS)[1]
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return spam_pages(table(spark, folder, "documents")).where("spam").select(F.col("key").alias("doc_id"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_groups, p4_found, p5_found, p6_found, p7_found, p8_found, p8_report, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_groups, p4_found, p5_found, p6_found, p7_found, p8_found, p8_report, p9_mix, p9_selected, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
