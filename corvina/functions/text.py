@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corvina.functions import fixed as X
+from corvina.functions.rounding import rounded
 
 _ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝ"
 _PLAIN = "aaaaaaeeeeiiiiooooouuuucnyAAAAAAEEEEIIIIOOOOOUUUUCNY"
@@ -78,15 +79,15 @@ def clickbait(title: Column) -> Column:
     plain = ascii_lower(t)
     triggers = reduce(lambda a, b: a + b, [plain.rlike(rf"\b{w}\b").cast("int") for w in X.TRIGGERS])
     score = X.UPPER_WEIGHT * share + X.RUNS_WEIGHT * F.least(F.lit(1.0), runs / 3) + X.NUMBER_WEIGHT * number + X.TRIGGER_WEIGHT * F.least(F.lit(1.0), triggers / 2)
-    return F.struct(F.round(share, 4).alias("upper"), runs.alias("runs"), number.alias("number"), triggers.alias("triggers"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4).alias("score"))
+    return F.struct(rounded(share, 4).alias("upper"), runs.alias("runs"), number.alias("number"), triggers.alias("triggers"), rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4).alias("score"))
 
 
 def lexicon_sentiment(text: Column) -> Column:
     """struct(pos, neg, neu, polarity) by which words of good and bad news a text holds."""
     low = F.lower(F.coalesce(text, F.lit("")))
     p, n = hits(low, X.POSITIVE), hits(low, X.NEGATIVE)
-    pos, neg = F.round(p / (p + n + 1.0), 4), F.round(n / (p + n + 1.0), 4)
-    return F.struct(pos.alias("pos"), neg.alias("neg"), F.round(1.0 - (pos + neg), 4).alias("neu"), F.round(pos - neg, 4).alias("polarity"))
+    pos, neg = rounded(p / (p + n + 1.0), 4), rounded(n / (p + n + 1.0), 4)
+    return F.struct(pos.alias("pos"), neg.alias("neg"), rounded(1.0 - (pos + neg), 4).alias("neu"), rounded(pos - neg, 4).alias("polarity"))
 
 
 def tidy(text: Column) -> Column:

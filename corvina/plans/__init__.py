@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvina.plans import timestamps
+from corvina.plans import archive, timestamps
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in timestamps.QUERIES}
+    return archive.QUERIES | {f.__name__: f for f in timestamps.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(archive.SQL)
