@@ -135,11 +135,11 @@ def change_point(series: DataFrame, order: str, value: str, edge: int = 12) -> D
     s = s.select("at", "value", (F.row_number().over(w) - 1).alias("i"), F.coalesce(F.sum("value").over(past), F.lit(0.0)).alias("s1"), F.coalesce(F.sum(v * v).over(past), F.lit(0.0)).alias("q1"))
     s = s.crossJoin(F.broadcast(s.agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.sum(v * v).alias("q"))))
     left, right = F.col("i"), F.col("n") - F.col("i")
-    sse = (F.col("q1") - F.col("s1") ** 2 / left) + (F.col("q") - F.col("q1") - (F.col("s") - F.col("s1")) ** 2 / right)
+    sse = (F.col("q1") - F.try_divide(F.col("s1") ** 2, left)) + (F.col("q") - F.col("q1") - F.try_divide((F.col("s") - F.col("s1")) ** 2, right))
     allowed = (F.col("i") >= edge) & (F.col("i") < F.col("n") - edge)
     long = F.col("n") >= 2 * edge
     key = F.when(long, F.when(allowed, rounded(sse, 9))).otherwise(-v)
-    best = s.select("i", "at", (F.col("s1") / left).alias("before"), ((F.col("s") - F.col("s1")) / right).alias("after"), F.when(long, sse).alias("sse"), key.alias("key")).where(F.col("key").isNotNull())
+    best = s.select("i", "at", F.try_divide(F.col("s1"), left).alias("before"), F.try_divide(F.col("s") - F.col("s1"), right).alias("after"), F.when(long, sse).alias("sse"), key.alias("key")).where(F.col("key").isNotNull())
     return best.agg(F.min_by(F.struct("i", "at", "before", "after", "sse"), F.struct("key", "i")).alias("b")).select(F.col("b.i").alias("position"), "b.at", rounded("b.before", 4).alias("before"), rounded("b.after", 4).alias("after"), rounded("b.sse", 6).alias("sse"))
 
 

@@ -176,9 +176,9 @@ def year_divergence(spark, folder):
 
 
 @query(f"""WITH {MONTHS}, r AS (SELECT mes, round(v, 6) AS v, row_number() OVER (ORDER BY mes) - 1 AS i, count(*) OVER () AS n FROM s),
-    c AS (SELECT mes, i, n, coalesce(sum(v) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s1, coalesce(sum(v * v) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS q1, sum(v) OVER () AS s, sum(v * v) OVER () AS q FROM r),
-    e AS (SELECT *, (q1 - s1 * s1 / i) + (q - q1 - (s - s1) * (s - s1) / (n - i)) AS sse FROM c WHERE i >= 12 AND i < n - 12)
-    SELECT i::INT AS position, mes AS at, round(s1 / i, 4) AS before, round((s - s1) / (n - i), 4) AS after, round(sse, 6) AS sse FROM e ORDER BY round(sse, 9), i LIMIT 1""")
+    c AS (SELECT mes, v, i, n, coalesce(sum(v) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s1, coalesce(sum(v * v) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS q1, sum(v) OVER () AS s, sum(v * v) OVER () AS q FROM r),
+    e AS (SELECT *, CASE WHEN n >= 24 THEN (q1 - s1 * s1 / nullif(i, 0)) + (q - q1 - (s - s1) * (s - s1) / (n - i)) END AS sse FROM c WHERE n < 24 OR (i >= 12 AND i < n - 12))
+    SELECT i::INT AS position, mes AS at, round(s1 / nullif(i, 0), 4) AS before, round((s - s1) / (n - i), 4) AS after, round(sse, 6) AS sse FROM e ORDER BY CASE WHEN n >= 24 THEN sse ELSE -v END, i LIMIT 1""")
 def divergence_change_point(spark, folder):
     by_month = _events(spark, folder).groupBy("mes").agg(rounded(F.avg("divergencia_sentimento"), 6).alias("v"))
     return S.change_point(by_month, "mes", "v")
