@@ -81,17 +81,17 @@ def marked_lines(docs: DataFrame, frequent: DataFrame, key: str, source: str, te
 
     @F.pandas_udf("array<array<long>>")
     def runs(at: pd.Series) -> pd.Series:
-        return at.map(lambda xs: runs_of([(x["linha"], x["hit"]) for x in xs]))
+        return at.map(lambda xs: runs_of([(x["linha"], None if x["gap"] else int(x["line"])) for x in xs]))
 
     wanted = frequent.select(F.col("source").alias("s_"), F.col("line").alias("l_"))
     lines = picked.mapInPandas(split, "key long, source long, linha int, line long")
     at = (
         lines.join(wanted, F.col("source").eqNullSafe(F.col("s_")) & (F.col("line") == F.col("l_")), "left")
         .groupBy("key", "source")
-        .agg(F.sort_array(F.collect_list(F.struct("linha", F.col("l_").alias("hit")))).alias("at"))
+        .agg(F.sort_array(F.collect_list(F.struct("linha", F.coalesce("l_", F.lit(0)).alias("line"), F.col("l_").isNull().alias("gap")))).alias("at"))
     )
-    hits = F.filter("at", lambda x: x["hit"].isNotNull())
-    return at.where(F.size(hits) > 0).select("key", "source", F.transform(hits, lambda x: x["linha"]).alias("linhas"), F.transform(hits, lambda x: x["hit"]).alias("lines"), runs("at").alias("runs"))
+    hits = F.filter("at", lambda x: ~x["gap"])
+    return at.where(F.size(hits) > 0).select("key", "source", F.transform(hits, lambda x: x["linha"]).alias("linhas"), F.transform(hits, lambda x: x["line"]).alias("lines"), runs("at").alias("runs"))
 
 
 def repeated_blocks(marked: DataFrame, floor: DataFrame) -> DataFrame:
@@ -184,6 +184,6 @@ def repeated_lines(docs: DataFrame, key: str = "id", source: str = "veiculo_id",
 def without_lines(docs: DataFrame, places: DataFrame, key: str, text: str) -> DataFrame:
     """``docs`` with the lines at ``places`` (key, linha) taken out of ``text``; other columns stay."""
     gone = places.groupBy(F.col("key").alias("key_")).agg(F.collect_set("linha").alias("gone_"))
-    kept = F.expr(f"array_join(transform(filter(arrays_zip(split(`{text}`, '\n') as t, sequence(1, size(split(`{text}`, '\n'))) as n), x -> not array_contains(gone_, x.n)), x -> x.t), '\n')")
+    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains("gone_", i + 1)), "\n")
     joined = docs.join(gone, docs[key] == F.col("key_"), "left")
     return joined.select(*[F.when(F.col("gone_").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else F.col(c) for c in docs.columns])
