@@ -12,9 +12,9 @@ import re
 #: Share of a source's rows from which a line counts as its furniture.
 FURNITURE_SHARE = 0.02
 
-# Beginnings of lines that belong to the page, not to the article.
+# Fixed values, in lower case: beginnings of lines that belong to the page, not to the article.
 STARTS = re.compile(
-    r"""(?ix) ^\W* (?:
+    r"""(?x) ^\W* (?:
       tags?\s*: | assuntos\s*: | palavras-chave\s*: | t[óo]picos\s*:
     | leia\s+(?:tamb[ée]m|mais)\b | veja\s+(?:mais|tamb[ée]m)\b | relacionad[ao]s?\s*: | saiba\s+mais\b
     | [úu]ltimas\s+(?:de|do|da|not[íi]cias)\b | voc[êe]\s+pode\s+gostar\b | voc[êe]\s+est[áa]\s+em\s*: | mais\s+lidas\b
@@ -41,12 +41,12 @@ MENU = re.compile(r"^\W*\w[\w'’ -]{0,24}(?:\s*(?:[|•·/»>]|\s{2,})\s*\w[\w'
 ENDED = re.compile(r"[.!?…][\"'”’»)\]]*\s*$")
 
 
-def seed_furniture(line: str) -> bool:
-    """Whether a line shows by its own words that it is furniture."""
-    low = line.lower()
+def seed_furniture(line: str, low: str | None = None) -> bool:
+    """Whether a line shows by its own words (``low``: in lower case) that it is furniture."""
+    low = line.lower() if low is None else low
     return bool(
         STARTS.match(low)
         or any(part in low for part in PARTS)
         or ("|" in line and DATED.search(low))
-        or (len(line) < 160 and not ENDED.search(line) and MENU.match(line))
+        or (len(line) < 160 and not ENDED.search(line[-16:]) and MENU.match(line))
     )
