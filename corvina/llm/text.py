@@ -27,32 +27,27 @@ def hash64(text: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def plain(text: str) -> str:
-    """Lower case without accents and invisible marks."""
-    text = text.lower()
-    if text.isascii():
-        return text
-    text = unicodedata.normalize("NFKD", text.translate(INVISIBLE))
-    return "".join(c for c in text if not unicodedata.combining(c)) if not text.isascii() else text
-
+#: Accents that stand apart after decomposition, and marks without width.
+LOOSE = re.compile("[\u0300-\u036f" + "".join(map(chr, INVISIBLE)) + "]+")
 
-class _Fold(dict):
-    """Translation table that folds letters to lower case ASCII as it meets them."""
-
-    def __missing__(self, code: int) -> str:
-        c = chr(code)
-        kept = "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if x.isalnum())
-        self[code] = "" if code in INVISIBLE or unicodedata.combining(c) else (kept or " ")
-        return self[code]
 
+def words(text: str) -> list[str]:
+    """Words without letter case, accents, punctuation and spacing."""
+    text = text.lower()
+    if not text.isascii():
+        text = LOOSE.sub("", unicodedata.normalize("NFKD", text))
+    return WORDS.findall(text)
 
-FOLD = _Fold()
 
+class _Hashes(dict):
+    """32-bit hashes of words, remembered for those met so far."""
 
-def words(text: str) -> list[str]:
-    """Words without letter case, accents, punctuation and spacing."""
-    return text.translate(FOLD).split()
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        self[word] = h = crc32(word.encode("utf-8", "surrogatepass"))
+        return h
 
 
-def word_hash(word: str) -> int:
-    return crc32(word.encode("utf-8", "surrogatepass"))
+_HASHES = _Hashes()
+word_hash = _HASHES.__getitem__
