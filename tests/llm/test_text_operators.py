@@ -156,7 +156,7 @@ def test_near_duplicates_match_brute_force(spark, shard):
     rows.append((999, 1, "t", rows[0][3].upper()))
     sets = {r[0]: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for r in rows for w in [text.words(r[3])]}
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
-    found = neardup.stash(neardup.article_sets(frame(spark, rows), "id", "veiculo_id", "titulo", "corpo", 5))
+    found = neardup.stash(neardup.article_sets(frame(spark, rows), "id", "veiculo_id", "titulo", "corpo", 5).withColumn("rid", F.monotonically_increasing_id()))
     member, links = neardup.near_links(found, 0.8, shard=shard)
     got = {(r.id_a, r.id_b) for r in neardup.row_pairs(member, links).collect()}
     assert got <= want and len(got) >= 0.97 * len(want)
