@@ -11,7 +11,8 @@ from corvina.llm.boilerplate import furniture_lines
 from corvina.llm.leakage import leak_report, leaked_items
 from corvina.llm.mixture import mix
 from corvina.llm.names import name_pairs, same_names
-from corvina.llm.neardup import near_duplicates, row_pairs
+from corvina.llm.neardup import duplicate_links, near_duplicates, row_pairs
+from corvina.llm.oracle import SQL
 from corvina.llm.repeated import repeated_lines
 from corvina.llm.residue import residue_rows
 from corvina.llm.spam import spam_pages
@@ -37,7 +38,7 @@ def p1_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     # The stated half, less what a line of furniture taken for text may change; no pair lies near.
-    return row_pairs(*near_duplicates(_sound(spark, folder), width=3, similarity=0.48))
+    return row_pairs(*duplicate_links(_sound(spark, folder), width=3, similarity=0.48))
 
 
 def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,4 +94,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
