@@ -57,6 +57,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", tex
         for batch in batches:
             split, h, of, first = _grams(batch["text"].tolist(), n)
             keys = batch["item"].to_numpy()
+            if not len(h):
+                continue
             yield pd.DataFrame({"h": h.view(np.int64), "item": keys[of], "gram": [" ".join(split[d][f : f + n]) for d, f in zip(of, first, strict=True)]})
 
     grams = items_.mapInPandas(item_grams, "h long, item long, gram string")
@@ -86,6 +88,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", tex
             for batch in batches:
                 split, h, of, first = _grams(batch["text"].tolist(), n)
                 keys = batch["doc"].to_numpy()
+                if not len(h):
+                    continue
                 yield pd.DataFrame({"h": h.view(np.int64), "doc": keys[of], "first_word": first, "gram": [" ".join(split[d][f : f + n]) for d, f in zip(of, first, strict=True)]})
 
         seen = docs_.mapInPandas(doc_grams, "h long, doc long, first_word int, gram string")
