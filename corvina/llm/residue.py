@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from operator import eq
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,7 +36,7 @@ SPEAKS_AFTER = re.compile(r"(?i)^\W*(?:no|em)\s+lugar\s+d")
 VOID = re.compile(r"(?i)^\W*(?:undefined|null|none|nan|n/a|object object|untitled|sem t[íi]tulo|t[íi]tulo|erro|error|p[áa]gina n[ãa]o encontrada|not found)\W*$")
 # Filler.
 FILLER = re.compile(
-    r"(?i)\b(?:lorem|lipsum)\b|\bdolor sit\b|\bdolam sipet\b|\bbla bla\b|x{4,}\s+x{3,}|\b(\w{2,12})(?:\W+\1\b){2,}|teste de publica[çc][ãa]o|favor ignorar|completar depois"
+    r"(?i)\b(?:lorem|lipsum)\b|\bdolor sit\b|\bdolam sipet\b|\bbla bla\b|(?<!x)x{4,}\s+x{3,}|\b(\w{2,12})(?:\W+\1\b){2,}|teste de publica[çc][ãa]o|favor ignorar|completar depois"
     r"|\b(?:digite|escreva|insira|inserir|cole)\b.{0,40}\baqui\b|\b(?:t[íi]tulo|texto|subt[íi]tulo|resumo|legenda) (?:da mat[ée]ria )?aqui\b|m[áa]x\. \d+ toques"
 )
 # Error messages and notices of servers, scripts and access.
@@ -58,8 +59,21 @@ HINTS = (
 )
 # Words that any running text has, in Portuguese, Spanish and English.
 FUNCTION = frozenset("a o as os um uma de do da dos das em no na nos nas por para com e que se ao aos el la los las un una del con y en lo the of to in and for is on at with by it this that".split())
-#: Longest line that can be a notice or filler by itself.
-NOTICE_CHARS = 220
+#: Lines up to this are judged whole, longer ones sentence by sentence.
+WHOLE_CHARS = 220
+#: Without one of these, what GUARDED tells, or a word said twice running, no sentence of a long line is filler or a notice.
+GUARDED = {
+    **dict.fromkeys(("erro", "error", "fatal", "warning", "exception"), re.compile(r"(?:^|[.!?…\n])\W*(?:http\s)?(?:erro|error|fatal|warning|exception)\b")),
+    **dict.fromkeys(("40", "41", "42", "50"), re.compile(r"\b(?:400|401|403|404|410|429|500|502|503|504)\b\W+[npbesif]")),
+    "aqui": re.compile(r"\b(?:digite|escreva|insira|inserir|cole|t[íi]tulo|texto|subt[íi]tulo|resumo|legenda|mat[ée]ria)\b.{0,40}\baqui\b"),
+    "depois": re.compile("completar depois"),
+}
+LONG_HINTS = (*(h for h in HINTS if h not in GUARDED), "internal server error")
+SENTENCES = re.compile(r"(?<=[.!?…])\s+")
+QUOTED = re.compile(r"“[^”]*(?:”|$)|«[^»]*(?:»|$)|\"[^\"]*\"")
+SPACED = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~", b" " * 31)
+#: Share of a long line that its notices hold, at least, if it opens with one and if not.
+NOTICE_SHARES = (0.25, 0.5)
 #: A wording repeated in so many records is a template.
 TEMPLATE_ROWS = 3
 
@@ -90,6 +104,55 @@ def _prose(line: str) -> bool:
     return bool(ENDED.search(line)) and line.count(" ") >= 9 and not seed_furniture(line)
 
 
+def _suspect(text: str) -> bool:
+    """Whether long lines may hold filler or a notice: a cheap look that lets none pass."""
+    low = text.lower()
+    for h in LONG_HINTS:
+        if h in low:
+            return True
+    for h, guard in GUARDED.items():
+        if h in low and guard.search(low):
+            return True
+    for sign in "“”‘’«»–—…":
+        low = low.replace(sign, " ")
+    said = low.encode("utf-8", "surrogatepass").translate(SPACED).split()
+    return any(map(eq, said, said[1:]))
+
+
+def _long_kinds(line: str) -> tuple[list[str], bool]:
+    """The kinds of residue among the sentences of a long line, and whether the others are prose.
+
+    Quoted text is what the article reports.  A sentence that names a filler
+    among as many function words as prose has speaks about it.  Notices count
+    if they hold much of the line or nothing else in it is prose.
+    """
+    if VOID.match(line):
+        return ["void"], False
+    prose = opens = False
+    noticed = at = 0
+    unquoted = QUOTED.sub(" ", line).strip()
+    marks = list(FILLER.finditer(unquoted))
+    filler = []
+    for s in SENTENCES.split(unquoted):
+        start = unquoted.index(s, at)
+        at = start + len(s)
+        if here := [m for m in marks if m.start() < at and m.end() > start]:
+            said = words(s)
+            spoken = sum(x in FUNCTION for x in said) >= 0.2 * len(said)
+            if new := [m for m in here if not (spoken and m.group(0).lower().startswith(("lorem", "lipsum", "dol", "bla", "xxxx")))]:
+                filler += new
+                continue
+        if NOTICE.search(s):
+            noticed += len(s)
+            opens |= not start
+        else:
+            prose |= _prose(s)
+    kinds = ["filler"] if filler else []
+    if noticed and (not prose or noticed >= NOTICE_SHARES[not opens] * len(unquoted)):
+        return [*kinds, "notice"], False
+    return kinds, prose
+
+
 class Pieces:
     """Finds what may be residue in one record after the other."""
 
@@ -105,7 +168,7 @@ class Pieces:
 
     def of(self, title: str | None, body: str | None) -> Iterator[tuple]:
         """(part, kind, wording, context, flag, line): flag is a mention for a slot, else whether the page has prose."""
-        prose, said = False, []
+        prose, said, long = False, [], []
         for n, line in enumerate([title or "", *(body or "").split("\n")]):
             line = line.strip()
             if not line:
@@ -117,13 +180,22 @@ class Pieces:
                     left, right = words(before)[-2:], words(after)[:2]
                     context = " ".join(left) + " _ " + " ".join(right) if len(left) + len(right) > 2 else None
                     yield part, "slot", m.group(0), context, _mention(before, after), line_key(line)
-            if len(line) > NOTICE_CHARS:
-                prose |= bool(n)
-                continue
-            if kind := self.short(line):
+            if len(line) > WHOLE_CHARS:
+                long.append((part, line))
+            elif kind := self.short(line):
                 said.append((part, kind, line_key(line) or line))
             elif n and not prose:
                 prose = _prose(line)
+        suspect = bool(long) and _suspect("\n".join([line for _, line in long]))
+        for part, line in long:
+            kinds, more = _long_kinds(line) if suspect else ([], False)
+            if not kinds and " de " not in line and self.short(line) == "wordless":
+                kinds = ["wordless"]
+            said += [(part, kind, line_key(line) or line) for kind in kinds]
+            if part == "body" and not kinds and not prose:
+                prose = more or _prose(line) or any(map(_prose, SENTENCES.split(line)))
+            elif part == "body":
+                prose |= more
         for part, kind, wording in said:
             yield part, kind, wording, None, prose, wording
 
@@ -133,7 +205,8 @@ def residue_rows(docs: DataFrame, key: str = "id", title: str = "titulo", body:
 
     A slot counts unless its sentence speaks about the marker, or at least
     three different lines hold the very same marker between the same words.
-    Void titles and filler count where they stand alone on a line.  A notice
+    Void titles count where they stand alone on a line, filler there or as
+    a sentence of a long line; lines of every length are searched.  A notice
     counts if its page has no other prose or if its wording replaces whole
     pages elsewhere.  Null or empty titles and bodies hold no residue; a key
     that stands in several rows comes out once; other columns are not read.

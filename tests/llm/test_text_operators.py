@@ -73,6 +73,21 @@ def test_residue(spark):
     assert got == [*range(len(bad)), 50]
 
 
+LOREM = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur."
+DENIED = "Acesso negado. Seu endereço não tem permissão para abrir esta página do portal. Para continuar é preciso habilitar os cookies e fazer nova tentativa. Se você acredita que há um engano, escreva ao responsável pelo portal e informe o número do atendimento que aparece abaixo."
+
+
+def test_residue_in_long_lines(spark):
+    rng = random.Random(12)
+    page, joined = "\n".join(body(rng)), " ".join(body(rng, 3))
+    tripled = f"{joined} Texto, texto… texto texto."
+    bad = [page + "\n" + LOREM, f"{joined} {LOREM}", DENIED, tripled, "Carregando...\n" + "Início • Política • Cultura • " * 12, "Acesso negado.\n" + DENIED]
+    good = [joined, f"{joined} A gráfica admitiu que o caderno de domingo saiu com lorem ipsum na capa e no verso.", f"{joined} “Acesso negado. Tente novamente mais tarde”, dizia a tela que a moradora mostrou.", page + "\n" + DENIED.replace("Acesso negado. ", joined)]
+    assert min(map(len, (LOREM, DENIED, joined))) > 220
+    rows = [(i, 1, "Um título", b) for i, b in enumerate(bad + good)]
+    assert sorted(r.key for r in residue.residue_rows(frame(spark, rows)).collect()) == [*range(len(bad))]
+
+
 @pytest.mark.parametrize("rows", [[], EMPTY])
 def test_empty_and_null(spark, rows):
     df = frame(spark, rows)
