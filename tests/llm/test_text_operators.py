@@ -177,6 +177,21 @@ def test_near_duplicates_match_brute_force(spark, shard):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+@pytest.mark.parametrize("n, pairs", [(600, 400), (60, 400), (20, 400)])
+def test_pairs_little_above_half_are_found(spark, n, pairs):
+    rng, sets = np.random.default_rng(n), []
+    for _ in range(pairs):
+        both = int(np.ceil(2 * n * 0.54 / 1.54))
+        x = rng.integers(0, 2**32, size=2 * n - both, dtype=np.uint64)
+        sets += [np.unique(x[:n]), np.unique(np.r_[x[:both], x[n:]])]
+    minima = np.stack([neardup.sketch(h) for h in sets])
+    rows = pd.DataFrame({"rid": range(len(sets)), "key": range(len(sets)), "shingles": [h.astype(np.uint32).view(np.int32).tolist() for h in sets], "print": neardup.fingerprints(minima).tolist(), "bands": neardup.bands(minima).tolist()})
+    found = spark.createDataFrame(rows, "rid long, key long, shingles array<int>, print array<long>, bands array<long>")
+    links = neardup.near_links(found, 0.48)[1]
+    got = {(r.a, r.b) for r in links.collect()}
+    assert got <= {(2 * i, 2 * i + 1) for i in range(pairs)} and len(got) >= 0.995 * pairs
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101)], "a long, b long")
     assert {(r.node, r.component) for r in names.components(chain).collect()} == {(i, 0) for i in range(31)} | {(100, 100), (101, 100)}
