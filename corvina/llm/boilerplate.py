@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -25,68 +26,139 @@ from corvina.llm.furniture import ENDED, FURNITURE_SHARE, seed_furniture
 from corvina.llm.lines import frequent_lines
 from corvina.llm.residue import FUNCTION
 from corvina.llm.text import hash64, line_key
-from corvina.session import BROADCAST_ROWS, small, stash
+from corvina.session import small, stash
 
 #: Least share of a source's rows from which the share of a line is told to the classifier.
 KNOWN_SHARE = 0.005
+#: Lines whose shares every worker holds, at 12 bytes each; beyond it they are joined line by line.
+HELD_SHARES = 1_000_000
 #: Documents that the classifier is fitted on, at most.
 SAMPLE_DOCS = 3_000
 HEADING = re.compile(r"^\W*(?:[úu]ltimas\s+d[eoa]|voc[êe]\s+pode\s+gostar|mais\s+lidas|relacionadas?\b|leia\s+(?:mais|tamb[ée]m)\W*$|veja\s+(?:mais|tamb[ée]m)\W*$)")
 NUMBERED = re.compile(r"^\s*\d{1,2}[.)]\s")
 SOURCED = re.compile(r"\([^()]{4,70}\)\W*$")
+INNER = re.compile(r"[^\W\d]{2}[.!?…][\"”’»)]*\s+[A-ZÀ-Ú“\"«]")
 SEPARATORS = ("|", "•", "·", "»", ">", "/", "  ")
 CONTEXT = ("words", "ended", "seed", "share", "prose")
-STATIC = ("chars", "words", "ended", "function", "digits", "upper", "separators", "bullet", "numbered", "quoted", "colon", "link", "seed", "commas", "lower_start", "heading", "sourced", "prose")
+FLAGS = ("words", "ended", "seed", "bullet", "numbered", "lower_start", "heading", "sourced", "prose")
+DETAILS = ("chars", "function", "digits", "upper", "separators", "quoted", "colon", "link", "commas", "inner")
+COLUMNS = ("share", "titled", *FLAGS, *DETAILS)
+COL = {name: i for i, name in enumerate(COLUMNS)}
+
+
+def line_flags(s: str, low: str) -> tuple:
+    """What a stripped line (``low``: in lower case) shows by itself, in the order of ``FLAGS``."""
+    parts = low.split()
+    n = len(parts)
+    ended, seed = s[-1:] in ".!?…" or bool(ENDED.search(s[-16:])), seed_furniture(s, low)
+    prose = n >= 8 and not seed and sum(map(FUNCTION.__contains__, parts)) > 0.1 * n and (ended or INNER.search(s) is not None)
+    sourced = not ended and ")" in s[-90:] and SOURCED.search(s[-90:]) is not None
+    return n, ended, seed, s.startswith(("- ", "* ", "> ")), NUMBERED.match(s) is not None, s[:1].islower(), not prose and HEADING.match(low) is not None, sourced, prose
+
+
+def line_details(s: str, low: str) -> tuple:
+    """What only the classifier looks at, in the order of ``DETAILS``."""
+    parts, size = s.split(), len(s) or 1
+    n = len(parts) or 1
+    return (
+        math.log1p(len(s)), sum(map(FUNCTION.__contains__, low.split())) / n, sum(map(s.count, "0123456789")) / size, sum(map(str.isupper, "".join([p[0] for p in parts]))) / n,
+        sum(map(s.count, SEPARATORS)), s.startswith(("“", '"', "«", ">")), ":" in s, "http" in s or "www." in s or "<a " in s, s.count(","), len(INNER.findall(s)),
+    )
+
+
+@dataclass
+class Shares:
+    """In what share of a source's rows a line stands, where that is greatest: sorted hashes of lines and their shares.
+
+    Where they are too many to be held, ``joined`` has (line, share) instead,
+    and :meth:`beside` puts each text's own shares into a column.
+    """
+
+    lines: np.ndarray
+    share: np.ndarray
+    joined: DataFrame | None = None
+
+    def held(self) -> Shares:
+        return Shares(self.lines, self.share)
+
+    def of(self, lines: np.ndarray) -> np.ndarray:
+        if not len(self.lines):
+            return np.zeros(len(lines))
+        at = np.minimum(np.searchsorted(self.lines, lines), len(self.lines) - 1)
+        return np.where(self.lines[at] == lines, self.share[at], 0.0)
+
+    def beside(self, picked: DataFrame) -> DataFrame:
+        """``picked`` (body, ...) with ``known``: a map from line number to share, null where they are held."""
+        if self.joined is None:
+            return picked.withColumn("known", F.lit(None).cast("map<int,double>"))
 
+        def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = [(t, i, hash64(k)) for t, body in zip(batch["text_"], batch["body"], strict=True) for i, piece in enumerate(body.split("\n"), 1) if (k := line_key(piece))]
+                yield pd.DataFrame(out, columns=["text_", "linha", "line"], dtype="int64")
 
-def static_features(line: str) -> np.ndarray:
-    """Features of a line by itself, in the order of ``STATIC``."""
-    s = line.strip()
-    low, parts = s.lower(), s.split()
-    n, size = len(parts) or 1, len(s) or 1
-    ended, seed = bool(ENDED.search(s[-16:])), seed_furniture(s, low)
-    function = sum(map(FUNCTION.__contains__, low.split())) / n
-    upper = sum(map(str.isupper, "".join([p[0] for p in parts]))) / n
-    return np.array([
-        math.log1p(len(s)), n, ended, function, sum(map(s.count, "0123456789")) / size, upper, sum(map(s.count, SEPARATORS)), s.startswith(("- ", "* ", "> ")), NUMBERED.match(s) is not None,
-        s.startswith(("“", '"', "«", ">")), ":" in s, "http" in s or "www." in s or "<a " in s, seed, s.count(","), s[:1].islower(), HEADING.match(low) is not None, not ended and SOURCED.search(s[-90:]) is not None, ended and n >= 8 and function > 0.1 and not seed,
-    ], dtype=np.float32)
+        marked = picked.withColumn("text_", F.xxhash64("body"))
+        lines = marked.select("text_", "body").where(F.col("body").isNotNull()).dropDuplicates(["text_"]).mapInPandas(split, "text_ long, linha int, line long")
+        known = lines.join(self.joined, "line").groupBy("text_").agg(F.map_from_entries(F.collect_list(F.struct("linha", "share"))).alias("known"))
+        return marked.join(known, "text_", "left").drop("text_")
+
+
+def known_shares(docs: DataFrame, source: str, text: str, held: int = HELD_SHARES) -> Shares:
+    """Shares of the lines that stand in many rows of a source; pages copied elsewhere take theirs along.
+
+    A source has at most (mean lines a row) / ``KNOWN_SHARE`` of them.  Up to
+    ``held`` counted lines are handed to the workers; more are joined.
+    """
+    # Ten rows at least: copies of one article are no furniture, however small the source.
+    frequent = stash(frequent_lines(docs, source, text, KNOWN_SHARE, 10).groupBy("line").agg(F.max(F.col("n_docs") / F.col("n_rows")).alias("share")))
+    if not small(frequent, held):
+        return Shares(np.empty(0, np.int64), np.empty(0), frequent)
+    rows = frequent.toPandas().sort_values("line")
+    return Shares(rows["line"].to_numpy(np.int64), rows["share"].to_numpy(np.float32))
 
 
 class Pages:
-    """Line features of many pages, holding those of lines that come again."""
+    """Line features of many pages, holding those of lines that come again; without ``details`` only what the seeds need."""
 
-    def __init__(self, shares: dict[tuple[int | None, int], float], held: int = 120_000) -> None:
-        self.shares, self.held = shares, held
-        self.static: dict[str, tuple[np.ndarray, int]] = {}
+    def __init__(self, shares: Shares, details: bool = False, held: int = 120_000) -> None:
+        self.shares, self.details, self.held = shares, details, held
+        self.width = len(COLUMNS) - 2 if details else len(FLAGS)
+        self.static: dict[str, tuple[tuple, int]] = {}
 
-    def _line(self, line: str) -> tuple[np.ndarray, int]:
+    def _line(self, line: str) -> tuple[tuple, int]:
         if (found := self.static.get(line)) is None:
-            found = static_features(line), hash64(line_key(line))
+            s = line.strip()
+            low = s.lower()
+            row = line_flags(s, low)
+            found = (row + line_details(s, low) if self.details else row), hash64(line_key(line))
             if len(line) < 200 and len(self.static) < self.held:
                 self.static[line] = found
         return found
 
     def lines(self, batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        """Document number, line number, own features, share and match with the title, and text of every line that isn't empty."""
-        doc, linha, rows, share, lines, titled = [], [], [], [], [], []
-        for d, (source, title, body) in enumerate(zip(batch["source"], batch["title"], batch["body"], strict=True)):
-            source = None if pd.isna(source) else int(source)
-            named = line_key(title or "")
-            named = hash64(named) if named else None
+        """Document number, line number, own features (share and match with the title first), and text of every line that isn't empty."""
+        linha, rows, hashes, lines, sizes, titled = [], [], [], [], [], []
+        for title, body in zip(batch["title"], batch["body"], strict=True):
+            before = len(lines)
             for i, piece in enumerate((body or "").split("\n"), 1):
                 if piece and not piece.isspace():
                     row, h = self._line(piece)
-                    doc.append(d), linha.append(i), rows.append(row), lines.append(piece)
-                    share.append(self.shares.get((source, h), 0.0))
-                    titled.append(h == named)
-        doc, linha = np.array(doc, np.int64), np.array(linha, np.int64)
+                    linha.append(i), rows.append(row), hashes.append(h), lines.append(piece)
+            sizes.append(len(lines) - before)
+            named = line_key(title or "")
+            titled.append(hash64(named) if named else 0)
+        doc, linha = np.repeat(np.arange(len(sizes)), sizes), np.array(linha, np.int64)
+        x = np.zeros((len(doc), 2 + self.width), np.float32)
         if not len(doc):
-            return doc, linha, np.empty((0, len(STATIC) + 2), np.float32), lines
-        x = np.empty((len(doc), len(STATIC) + 2), np.float32)
-        x[:, : len(STATIC)] = rows
-        x[:, -2] = np.log(np.maximum(np.array(share), 1e-3))
-        x[:, -1] = titled
+            return doc, linha, x, lines
+        hashes = np.array(hashes, np.int64)
+        share = self.shares.of(hashes)
+        if "known" in batch and batch["known"].notna().any():
+            maps = [dict(k) if k is not None else {} for k in batch["known"]]
+            share = np.array([maps[d].get(i, 0.0) for d, i in zip(doc, linha, strict=True)])
+        x[:, 2:] = rows
+        x[:, 0] = np.log(np.maximum(share, 1e-3))
+        x[:, 1] = hashes == np.array(titled, np.int64)[doc]
         return doc, linha, x, lines
 
     def of(self, batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
@@ -94,12 +166,11 @@ class Pages:
         doc, linha, x, lines = self.lines(batch)
         if not len(doc):
             return doc, linha, np.empty((0, N_FEATURES), np.float32), lines
-        own = {name: x[:, STATIC.index(name)] if name in STATIC else x[:, len(STATIC)] for name in CONTEXT}
+        own = {name: x[:, COL[name]] for name in CONTEXT}
         out = [x]
         for step in (-3, -2, -1, 1, 2, 3):
             near = np.roll(np.arange(len(doc)), -step)
             inside = doc[near] == doc
-            inside[:-step] &= step > 0
             if step > 0:
                 inside[len(doc) - step :] = False
             else:
@@ -117,18 +188,18 @@ class Pages:
         return doc, linha, np.concatenate(out, axis=1).astype(np.float32), lines
 
 
-N_FEATURES = len(STATIC) + 2 + 6 * len(CONTEXT) + 5
+N_FEATURES = len(COLUMNS) + 6 * len(CONTEXT) + 5
 
 
 def seed_labels(doc: np.ndarray, x: np.ndarray, lines: list[str]) -> np.ndarray:
     """1 furniture, 0 article, -1 unknown: what repetition, wording and lists say by themselves."""
-    share, titled = np.exp(x[:, len(STATIC)]), x[:, len(STATIC) + 1] > 0
-    prose, seed, numbered, bullet, sourced, heading = (x[:, STATIC.index(n)] > 0 for n in ("prose", "seed", "numbered", "bullet", "sourced", "heading"))
+    share, titled = np.exp(x[:, 0]), x[:, 1] > 0
+    prose, seed, bullet, sourced = (x[:, COL[n]] > 0 for n in ("prose", "seed", "bullet", "sourced"))
     label = np.full(len(doc), -1)
     label[prose] = 0
     label[bullet & ~prose & (share < FURNITURE_SHARE)] = 0
     label[(share >= FURNITURE_SHARE) | seed] = 1
-    label[sourced & ~prose & (x[:, 1] < 16)] = 1
+    label[sourced & ~prose & (x[:, COL["words"]] < 16)] = 1
     label[np.char.startswith(np.array([s.lstrip()[:2] for s in lines], dtype="U2"), "> ") & ~prose] = 1
     label[titled] = 0
     label[blocks(doc, x)[1]] = 1
@@ -146,8 +217,8 @@ def blocks(doc: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     prose nor bullets, nor furniture by their own words; numbered lines in a
     row form a list without a heading.
     """
-    col = lambda n: x[:, STATIC.index(n)] > 0
-    heading, stop = col("heading"), col("prose") | col("bullet") | col("seed") | (x[:, len(STATIC)] > np.log(FURNITURE_SHARE)) | (x[:, STATIC.index("words")] > 30)
+    col = lambda n: x[:, COL[n]] > 0
+    heading, stop = col("heading"), col("prose") | col("bullet") | col("seed") | (x[:, 0] > np.log(FURNITURE_SHARE)) | (x[:, COL["words"]] > 30)
     numbered = col("numbered") & ~col("prose") & ~col("lower_start")
     block, listed = np.zeros(len(doc), np.int64), np.zeros(len(doc), bool)
     b, open_, last = -1, False, -1
@@ -205,31 +276,17 @@ def _log_odds(trees: list, x: np.ndarray, depth: int) -> np.ndarray:
     return 2 * total
 
 
-def known_shares(docs: DataFrame, source: str, text: str) -> dict[tuple[int | None, int], float]:
-    """Shares of the lines that stand in many rows of a source.
-
-    A source has at most (mean lines a row) / ``KNOWN_SHARE`` of them; the
-    counted rows are checked, and where sources are so many that the table
-    passes the bound of a broadcast only the more frequent lines are kept.
-    """
-    # Ten rows at least: copies of one article are no furniture, however small the source.
-    frequent = stash(frequent_lines(docs, source, text, KNOWN_SHARE, 10))
-    for share in (KNOWN_SHARE, FURNITURE_SHARE, 0.1, 0.5):
-        held = frequent.where(F.col("n_docs") >= share * F.col("n_rows"))
-        if small(held, BROADCAST_ROWS):
-            return {(r.source, r.line): r.n_docs / r.n_rows for r in held.toLocalIterator()}
-    return {}
-
-
-def fit_furniture(docs: DataFrame, shares: Broadcast, sample_docs: int = SAMPLE_DOCS, trees: int = 24, depth: int = 4) -> list:
-    """The trees of a classifier of lines, fitted on at most ``sample_docs`` documents.
+def fit_furniture(docs: DataFrame, shares: Broadcast, sample_docs: int = SAMPLE_DOCS, trees: int = 24, depth: int = 4) -> tuple[float, list]:
+    """(odds without features, trees) of a classifier of lines, fitted on at most ``sample_docs`` documents.
 
-    ``docs`` has source, title and body.  The labels are the seeds that
-    repetition and wording give; what they leave open is not trained on.
+    ``docs`` has source, title, body and known shares.  The labels are the
+    seeds that repetition and wording give; what they leave open is not trained
+    on, and no seed has a say once the trees are fitted.  Labels of one kind
+    give that kind's odds for every line, no labels even odds.
     """
 
     def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pages = Pages(shares.value)
+        pages = Pages(shares.value, details=True)
         for batch in batches:
             doc, _, x, lines = pages.of(batch)
             if not len(doc):
@@ -237,7 +294,7 @@ def fit_furniture(docs: DataFrame, shares: Broadcast, sample_docs: int = SAMPLE_
             label = seed_labels(doc, x, lines)
             # Half of the time the words that gave a seed away are hidden, so that its place has to tell.
             hide = (np.arange(len(doc)) * 2654435761 % 97) < 48
-            x[hide, STATIC.index("seed")] = 0
+            x[hide, COL["seed"]] = 0
             known = label >= 0
             if not known.any():
                 continue
@@ -246,10 +303,11 @@ def fit_furniture(docs: DataFrame, shares: Broadcast, sample_docs: int = SAMPLE_
     total = docs.count()
     sampled = docs.where(F.xxhash64("body") % 1_000_003 < F.lit(1_000_003 * min(1.0, sample_docs / max(total, 1)) * 2 - 1_000_003)).limit(sample_docs)
     rows = stash(sampled.repartition(4).mapInPandas(examples, "label double, x array<double>")).select("label", array_to_vector("x").alias("features"))
-    if rows.select("label").distinct().count() < 2:
-        return []
+    kinds = [r.label for r in rows.select("label").distinct().collect()]
+    if len(kinds) < 2:
+        return (5.0 if kinds == [1.0] else -5.0 if kinds else 0.0), []
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, maxBins=32, subsamplingRate=0.7).fit(rows)
-    return _trees(model)
+    return 0.0, _trees(model)
 
 
 def furniture_lines(docs: DataFrame, key: str = "id", source: str = "veiculo_id", title: str = "titulo", body: str = "corpo", sample_docs: int = SAMPLE_DOCS, trees: int = 24, depth: int = 4) -> DataFrame:
@@ -258,26 +316,25 @@ def furniture_lines(docs: DataFrame, key: str = "id", source: str = "veiculo_id"
     ``linha`` counts from 1 over all pieces split at line ends; empty lines are
     never listed.  Null bodies and empty tables give no rows; a null title or
     source is allowed; rows repeated under one key are decoded one by one;
-    other columns are not read.  With labels of one kind only (tiny tables)
-    the seeds decide.
+    other columns are not read.
     """
     picked = docs.select(F.col(key).cast("long").alias("key"), F.col(source).cast("long").alias("source"), F.col(title).alias("title"), F.col(body).alias("body")).where(F.col("body").isNotNull())
     sc = docs.sparkSession.sparkContext
-    shares = sc.broadcast(known_shares(docs, source, body))
+    counted = known_shares(docs, source, body)
+    shares = sc.broadcast(counted.held())
+    picked = counted.beside(picked)
     model = sc.broadcast(fit_furniture(picked, shares, sample_docs, trees, depth))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pages = Pages(shares.value)
+        pages = Pages(shares.value, details=True)
+        alone, fitted = model.value
         for batch in batches:
             for a in range(0, len(batch), 2_000):
                 part = batch.iloc[a : a + 2_000]
-                doc, linha, x, lines = pages.of(part)
+                doc, linha, x, _ = pages.of(part)
                 if not len(doc):
                     continue
-                seeds = seed_labels(doc, x, lines)
-                odds = _log_odds(model.value, x, depth) if model.value else np.zeros(len(doc))
-                odds = odds + np.select([seeds == 1, seeds == 0], [3.0, -3.0], 0.0)
-                gone = decode(doc, blocks(doc, x)[0], odds)
+                gone = decode(doc, blocks(doc, x)[0], alone + _log_odds(fitted, x, depth))
                 yield pd.DataFrame({"key": part["key"].to_numpy()[doc[gone]], "linha": linha[gone]})
 
     return picked.mapInPandas(find, "key long, linha int")

@@ -12,28 +12,19 @@ import re
 #: Share of a source's rows from which a line counts as its furniture.
 FURNITURE_SHARE = 0.02
 
-# Fixed values, in lower case: beginnings of lines that belong to the page, not to the article.
+# Fixed values, in lower case: how lines of a page, not of an article, commonly begin.
 STARTS = re.compile(
     r"""(?x) ^\W* (?:
       tags?\s*: | assuntos\s*: | palavras-chave\s*: | t[óo]picos\s*:
-    | leia\s+(?:tamb[ée]m|mais)\b | veja\s+(?:mais|tamb[ée]m)\b | relacionad[ao]s?\s*: | saiba\s+mais\b
-    | [úu]ltimas\s+(?:de|do|da|not[íi]cias)\b | voc[êe]\s+pode\s+gostar\b | voc[êe]\s+est[áa]\s+em\s*: | mais\s+lidas\b
-    | home\s*[/>»] | in[íi]cio\s*[/>»] | (?:pol[íi]tica|economia|cidades|mundo|meio\ ambiente|ambiente|social|internacional|esportes?|cultura|sa[úu]de|clima|educa[çc][ãa]o|opini[ãa]o)\s*[»>]
-    | fotos?\s+\d+\s+de\s+\d+ | fotos?\s*: | imagem\s*: | legenda\s*: | cr[ée]ditos?\s*: | v[íi]deo\s*: | arte\s*:
-    | edi[çc][ãa]o\s*: | colabor(?:ou|aram)\s | reportagem\s+de\s | com\s+informa[çc][õo]es\s+d[eoa]\s | revis[ãa]o\s*:
-    | da\s+reda[çc][ãa]o\b | por\s+equipe\b | publicado\s+em\b | atualizado\s+em\b | tempo\s+de\s+leitura\b
-    | enquete\s*: | vote\s*: | \w+\s+comentou\s*: | c[óo]digo\s*: | coment[áa]rios?\b.{0,20}$
-    | publicidade\W*$ | an[úu]ncio\W*$ | continua\s+depois\s+d[ao]\b
-    | assine\b | siga\b | receba\b | participe\s+do\s+canal\b | baixe\s+o\b | compartilh[ea]\b | ativar\s+notifica | salvar\s+para\s+ler
-    | copiar\s+link | clique\s+aqui | ouvir\s+a\s+mat[ée]ria | voltar\s+(?:ao|para)\b | ir\s+para\s+o\b | buscar\W*$ | entrar\b.{0,40}$
-    | gostou\?\s | quer\s+mandar\b | encontrou\s+um\s+erro | o\s+que\s+voc[êe]\s+achou\b | s[óo]\s+assinantes\b | conte[úu]do\s+licenciado
-    | termos\s+de\s+uso | mapa\s+do\s+site | expediente\b | cnpj\b | ©|copyright\b | todos\s+os\s+direitos | [ée]\s+proibida\s+a\b
-    | usamos\s+cookies | este\s+site\s+(?:grava|usa|utiliza)\b | sua\s+privacidade\b | central\s+do\s+assinante | esta\s+reportagem\s+foi\s+produzida
-    | os\s+coment[áa]rios\s+s[ãa]o | as\s+opini[õo]es\b | a\+\s+a-
+    | leia\s+(?:tamb[ée]m|mais)\b | veja\s+(?:mais|tamb[ée]m)\b | relacionad[ao]s?\s*: | saiba\s+mais\b | mais\s+lidas\b
+    | fotos?\s*: | imagem\s*: | legenda\s*: | cr[ée]ditos?\s*: | v[íi]deo\s*: | com\s+informa[çc][õo]es\s+d[eoa]\s | da\s+reda[çc][ãa]o\b
+    | edi[çc][ãa]o\s*: | revis[ãa]o\s*: | colabor(?:ou|aram)\s | reportagem\s+de\s
+    | publicado\s+em\b | atualizado\s+em\b | tempo\s+de\s+leitura\b | coment[áa]rios?\b.{0,20}$ | \w+\s+comentou\s*:
+    | publicidade\W*$ | an[úu]ncio\W*$ | assine\b | compartilh[ea]\b | copyright\b | © | todos\s+os\s+direitos | usamos\s+cookies
     )"""
 )
 # Parts that no sentence of an article has.
-PARTS = ("(crédito", "( ) ", "identificadores para medir", "rede de checagem", "direitos reservados", "política de privacidade", "newsletter", "alertas no celular", "rua do mercado, ")
+PARTS = ("(crédito", "( ) ", "direitos reservados", "política de privacidade", "newsletter")
 #: A byline with place and time.
 DATED = re.compile(r"\|\s*\d{1,2}\s+\w{3}\.?\s+\d{4}\s+\d{1,2}h\d{2}")
 #: Menus: short labels between separators or wide gaps.
@@ -44,9 +35,6 @@ ENDED = re.compile(r"[.!?…][\"'”’»)\]]*\s*$")
 def seed_furniture(line: str, low: str | None = None) -> bool:
     """Whether a line shows by its own words (``low``: in lower case) that it is furniture."""
     low = line.lower() if low is None else low
-    return bool(
-        STARTS.match(low)
-        or any(part in low for part in PARTS)
-        or ("|" in line and DATED.search(low))
-        or (len(line) < 160 and not ENDED.search(line[-16:]) and MENU.match(line))
-    )
+    if STARTS.match(low) or any(part in low for part in PARTS) or ("|" in line and DATED.search(low)):
+        return True
+    return line[-1:] not in ".!?…" and not ENDED.search(line[-16:]) and MENU.match(line) is not None

@@ -29,11 +29,11 @@ def _sound(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return truncated(_sound(spark, folder)).where("cut").select(F.col("key").alias("id"))
+    return truncated(_sound(spark, folder)).where("cut").select(F.col("key").alias("id")).distinct()
 
 
 def p1_report(spark: SparkSession, folder: str) -> DataFrame:
-    return truncation_report(truncated(_sound(spark, folder))).withColumnRenamed("source", "veiculo_id")
+    return truncation_report(table(spark, folder, "materias"), truncated(_sound(spark, folder))).withColumnRenamed("source", "veiculo_id")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Texts cut off by field limits or broken transfers.
 
-Two kinds of evidence are joined.  Lengths: for every source a right-censored
-log-normal is fitted by maximum likelihood, and at each length where values
-pile up the share that the distribution can't explain is the posterior of
-having been cut there.  Endings: whether the last words of the article have
-ever ended a sentence in the whole corpus, or are no whole word at all.
+Two kinds of evidence are joined as odds.  Lengths: for every source a
+right-censored log-normal is fitted by maximum likelihood, and at each length
+where values pile up the share that the distribution can't explain is the
+posterior of having been cut there; it is the prior of the ending.  Endings:
+how often the last word ends sentences or lines among all its uses, how often
+whole texts of the source lack a closing sign, and broken words and tags.
 """
 
 from __future__ import annotations
@@ -19,17 +20,44 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm.boilerplate import STATIC, Pages, known_shares, seed_labels
+from corvina.llm.boilerplate import COL, KNOWN_SHARE, Pages, Shares, known_shares, seed_labels
 from corvina.llm.text import DIGITS
 from corvina.session import hinted, stash
 
 #: A tag or an entity that never closes.
 BROKEN = re.compile(r"<[/a-zA-Z!][^<>]*$|&#?\w{0,8}$|&(?:amp;)+#?\w{0,8};?$|[A-Za-z]%[0-9A-F]?$|\\u?[0-9a-f]{0,3}$")
+#: Signs of an ellipsis or of more to come, set behind a text.
+MORE = re.compile(r"\s*(?:\[\s*(?:\.{2,}|…|\+)\s*\]|\(\s*(?:\.{3}|…)\s*\)|\.{3}|…)\s*$")
 #: Ends of sentences, quotations, addresses, and of headlines that name who is quoted.
-CLOSED = re.compile(r"[.!?…][\"'”’»)\]]*\s*$|[”»\")\]]\s*$|https?://\S+\s*$|”,?\s+diz\s+[ao]s?\s+[\w-]+(?:\s+[A-ZÀ-Ú][\w'-]+){2,}\s*$")
+CLOSED = re.compile(r"[.!?…][\"'”’»)\]]*\s*$|[”»\")\]]\s*$|https?://\S+\s*$|\S@\S+\s*$|”,?\s+diz\s+[ao]s?\s+[\w-]+(?:\s+[A-ZÀ-Ú][\w'-]+){2,}\s*$")
 OPEN = re.compile(r"[,;:(“«–—-]\s*$")
 #: Signs around a word, and those that close a sentence before them.
 EDGE, QUOTES, STOPS = "\"'“”‘’«»()[]*.,;:!?…", "\"'”’»)]", ".!?…"
+#: Odds (natural logarithm) of a cut against a whole text for each form of ending; ``bare`` is measured by source.
+FORM_ODDS = {"closed": -9.0, "broken": 9.0, "open": 6.0, "marked": 5.0, "listed": -1.5}
+#: Odds of a bare line of one sentence with furniture behind it, which may be the headline of another article.
+HEADLINE_ODDS = -2.5
+#: Share of cuts that fall inside a word, and of cut texts without a closing sign.
+INSIDE_WORD, BARE_IF_CUT = 0.6, 0.95
+#: Words of a headline, at most.
+HEADLINE_WORDS = 22
+#: Bounds of what a last word may say either way.
+WORD_ODDS = 4.0
+
+
+def ending(line: str, bullet: bool) -> tuple[str, str]:
+    """(form, last word) of the last line of an article."""
+    line = line.strip()
+    form = "broken" if BROKEN.search(line) else "listed" if bullet else "bare"
+    if form != "broken":
+        if (more := MORE.search(line)) and not CLOSED.search(line[: more.start()]):
+            line, form = line[: more.start()], "marked"
+        elif CLOSED.search(line):
+            form = "closed"
+        elif OPEN.search(line):
+            form = "open"
+    said = DIGITS.sub("0", line.lower()).split()
+    return form, said[-1].strip(EDGE) if said else ""
 
 
 def shapes(line: str) -> tuple[list[str], list[int]]:
@@ -65,9 +93,9 @@ def censored_fit(length: np.ndarray, count: np.ndarray, cut: np.ndarray, rounds:
 
 
 def length_limits(lengths: pd.DataFrame, least: int = 3, excess: float = 4.0) -> pd.DataFrame:
-    """(source, bytes, n, posterior): lengths of one source, in characters or bytes, at which values were cut.
+    """(source, measure, n, posterior): lengths of one source, by one measure, at which values were cut.
 
-    ``lengths`` is its histogram (source, bytes, n, rows).  Lengths that hold
+    ``lengths`` is its histogram (source, measure, n, rows).  Lengths that hold
     ``excess`` times what their neighbourhood does are candidates; the fit is
     made with them censored, and the posterior is the part of their rows beyond
     what the density and the neighbourhood explain.
@@ -81,26 +109,30 @@ def length_limits(lengths: pd.DataFrame, least: int = 3, excess: float = 4.0) ->
     around = (cum[hi] - cum[lo] - rows) / (2 * width)
     cand = (rows >= least) & (rows >= excess * np.maximum(around, 0.3))
     if not cand.any():
-        return pd.DataFrame({"source": pd.array([], "Int64"), "bytes": np.empty(0, bool), "n": np.empty(0, np.int64), "posterior": np.empty(0)})
+        return pd.DataFrame({"source": pd.array([], "Int64"), "measure": pd.array([], "str"), "n": np.empty(0, np.int64), "posterior": np.empty(0)})
     mu, sigma = censored_fit(n, rows, cand)
     density = total * np.exp(-(((np.log(np.maximum(n, 1)) - mu) / sigma) ** 2) / 2) / (np.maximum(n, 1) * sigma * math.sqrt(2 * math.pi))
     posterior = 1 - np.minimum(np.maximum(density, around), rows) / rows
-    return pd.DataFrame({"source": lengths["source"].astype("Int64").array[cand], "bytes": lengths["bytes"].to_numpy(bool)[cand], "n": n[cand].astype(np.int64), "posterior": posterior[cand]})
+    return pd.DataFrame({"source": lengths["source"].astype("Int64").array[cand], "measure": lengths["measure"].array[cand], "n": n[cand].astype(np.int64), "posterior": posterior[cand]})
 
 
-def article_endings(docs: DataFrame, source: str, title: str, body: str, key: str, shares) -> DataFrame:
-    """One row per document with the end of its article, and the words that end sentences, counted in the task.
+def article_endings(docs: DataFrame, source: str, title: str, body: str, key: str, shares: Shares) -> DataFrame:
+    """The lines that may end each article, and how often words end sentences, counted in the task.
 
-    kind 'end': key, source, chars, bytes, last (nothing follows the end), the
-    two and three last words, form: closed, open, broken, listed or bare; kind 'final'
-    and 'word': words that ended a sentence or title, or stood anywhere.
+    kind 'end': key, source, chars and bytes of the body, article (characters
+    of the article without furniture), last (nothing follows the line), form,
+    word, spaced, single (one sentence no longer than a headline).  The last line that is no furniture may end the article; so
+    may those before it, as long as what follows looks like headlines.
+    kind 'word': n uses of a word, n_end of them at the end of a sentence,
+    title or line with another line behind it.
     """
-    columns = ["kind", "key", "source", "chars", "bytes", "last", "triple", "pair", "word", "form", "spaced", "n"]
+    columns = ["kind", "key", "source", "chars", "bytes", "article", "last", "word", "form", "spaced", "single", "n", "n_end"]
+    held = docs.sparkSession.sparkContext.broadcast(shares.held())
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pages = Pages(shares.value)
-        finals: Counter = Counter()
+        pages = Pages(held.value)
         seen: Counter = Counter()
+        finals: Counter = Counter()
         for batch in batches:
             out = []
             for a in range(0, len(batch), 2_000):
@@ -108,95 +140,101 @@ def article_endings(docs: DataFrame, source: str, title: str, body: str, key: st
                 doc, _, x, lines = pages.lines(part)
                 if not len(doc):
                     continue
-                gone = seed_labels(doc, x, lines) == 1
-                end: dict[int, int] = {}
-                for i in np.flatnonzero(~gone):
-                    end[doc[i]] = i
-                    line = lines[i]
-                    if x[i, 1] >= 5:
-                        said, ends = shapes(line)
-                        seen.update(said)
-                        for e in ends:
-                            pair = " ".join(said[max(0, e - 1) : e + 1])
-                            finals.update((pair, f"{said[e - 2] if e > 1 else ''} {pair}"))
+                # Short lines that many pages of a source have end no article.
+                kept = np.flatnonzero((seed_labels(doc, x, lines) != 1) & ((x[:, 0] <= np.log(KNOWN_SHARE)) | (x[:, COL["prose"]] > 0)))
+                of: dict[int, list[int]] = {}
+                for i in kept.tolist():
+                    of.setdefault(int(doc[i]), []).append(i)
                 for t in part["title"]:
-                    if t and len(w := shapes(t)[0][-3:]) == 3:
-                        finals.update((" ".join(w[1:]), " ".join(w)))
+                    if t and (said := shapes(t)[0]):
+                        seen.update(said), finals.update(said[-1:])
                 keys, sources, bodies = part["key"].to_numpy(), part["source"], part["body"].tolist()
-                for d, i in end.items():
-                    line = lines[i].strip()
-                    tokens = shapes(line[-120:])[0][-3:]
-                    bullet = x[i, STATIC.index("bullet")] > 0
-                    form = "broken" if BROKEN.search(line) else "closed" if CLOSED.search(line) else "open" if OPEN.search(line) else "listed" if bullet else "bare"
+                for d, own in of.items():
+                    size = sum(len(lines[i]) + 1 for i in own) - 1
                     src = sources.iloc[d]
-                    out.append(("end", keys[d], None if pd.isna(src) else int(src), len(bodies[d]), len(bodies[d].encode("utf-8", "replace")), i + 1 == len(doc) or doc[i + 1] != d, " ".join(tokens), " ".join(tokens[-2:]), tokens[-1] if tokens else "", form, lines[i][-1:] == " ", 1))
+                    top = True
+                    for i in reversed(own):
+                        said, ends = shapes(lines[i])
+                        seen.update(said)
+                        inner = len(ends) > 1 or (len(ends) == 1 and ends[0] != len(said) - 1)
+                        if not top and not ends and said:
+                            finals[said[-1]] += 1
+                        form, word = ending(lines[i], x[i, COL["bullet"]] > 0) if top else ("", "")
+                        finals.update(said[e] for e in ends if form != "marked" or e < len(said) - 1)
+                        if top:
+                            out.append(("end", keys[d], None if pd.isna(src) else int(src), len(bodies[d]), len(bodies[d].encode("utf-8", "replace")), size, i + 1 == len(doc) or doc[i + 1] != d, word, form, lines[i][-1:] == " ", not inner and len(said) <= HEADLINE_WORDS, 1, 0))
+                            top = form in ("bare", "closed") and not inner and len(said) <= HEADLINE_WORDS and not (form == "closed" and x[i, COL["prose"]] > 0)
+                            size -= len(lines[i]) + 1
             if out:
                 yield pd.DataFrame(out, columns=columns).astype({"source": "Int64"})
-            if len(finals) + len(seen) > 400_000:
-                yield counts(finals, seen)
-                finals, seen = Counter(), Counter()
-        if finals or seen:
-            yield counts(finals, seen)
+            if len(seen) > 400_000:
+                yield counts(seen, finals)
+                seen, finals = Counter(), Counter()
+        if seen:
+            yield counts(seen, finals)
 
-    def counts(finals: Counter, seen: Counter) -> pd.DataFrame:
-        rows = [("final", p, n) for p, n in finals.items()] + [("word", w, n) for w, n in seen.items()]
-        got = pd.DataFrame(rows, columns=["kind", "word", "n"])
-        return got.assign(key=0, source=pd.array([None] * len(got), "Int64"), chars=0, bytes=0, last=False, triple="", pair="", form="", spaced=False)[columns]
+    def counts(seen: Counter, finals: Counter) -> pd.DataFrame:
+        got = pd.DataFrame([("word", w, n, finals[w]) for w, n in seen.items()], columns=["kind", "word", "n", "n_end"])
+        return got.assign(key=0, source=pd.array([None] * len(got), "Int64"), chars=0, bytes=0, article=0, last=False, form="", spaced=False, single=False)[columns]
 
-    return (
-        docs.select(F.col(key).cast("long").alias("key"), F.col(source).cast("long").alias("source"), F.col(title).alias("title"), F.col(body).alias("body"))
-        .where(F.col("body").isNotNull() & (F.col("body") != ""))
-        .mapInPandas(read, "kind string, key long, source long, chars int, bytes int, last boolean, triple string, pair string, word string, form string, spaced boolean, n long")
-    )
+    picked = docs.select(F.col(key).cast("long").alias("key"), F.col(source).cast("long").alias("source"), F.col(title).alias("title"), F.col(body).alias("body")).where(F.col("body").isNotNull() & (F.col("body") != ""))
+    return shares.beside(picked).mapInPandas(read, "kind string, key long, source long, chars int, bytes int, article int, last boolean, word string, form string, spaced boolean, single boolean, n long, n_end long")
 
 
-def truncated(docs: DataFrame, key: str = "id", source: str = "veiculo_id", title: str = "titulo", body: str = "corpo", base: float = 0.05) -> DataFrame:
+def truncated(docs: DataFrame, key: str = "id", source: str = "veiculo_id", title: str = "titulo", body: str = "corpo", base: float = 0.05, fits: bool = True) -> DataFrame:
     """(key, source, chars, form, posterior, probability, cut): how sure it is that each article was cut.
 
-    ``base`` is the share of cut texts expected away from any limit.  A text is
-    cut if its article ends inside a sentence: at a broken tag or word, or with
-    words that don't end sentences elsewhere; standing at a limit of its source
-    raises the odds.  Complete sentences, quotations, lists and texts whose
-    furniture alone was cut are not.  Null and empty texts give no rows; rows
-    repeated under one key are judged one by one; other columns are not read.
+    ``base`` is the share of cut texts expected away from any limit; standing
+    at a limit of its source (in characters, bytes, or characters of the
+    article where furniture follows) a text has the posterior of the censored
+    fit instead, unless ``fits`` is off.  The ending then weighs for or against
+    a cut: its form, how often its last word ends sentences, and how rarely
+    whole texts of the source stop without a closing sign.  Complete sentences,
+    quotations, lists and texts whose furniture alone was cut are not cut.
+    Null and empty texts give no rows; rows repeated under one key come out once
+    for each length; other columns are not read.
     """
-    sc = docs.sparkSession.sparkContext
-    shares = sc.broadcast(known_shares(docs, source, body))
-    read = stash(article_endings(docs, source, title, body, key, shares))
-    ends = read.where("kind = 'end'").drop("kind", "n")
-    measured = ends.select("source", F.explode(F.array(F.struct(F.lit(False).alias("bytes"), F.col("chars").alias("n")), F.struct(F.lit(True).alias("bytes"), F.col("bytes").alias("n")))).alias("m"))
-    histogram = measured.select("source", "m.bytes", "m.n").groupBy("source", "bytes", "n").agg(F.count("*").alias("rows"))
-    limits = stash(histogram.groupBy("source", "bytes").applyInPandas(lambda pdf: length_limits(pdf), "source long, bytes boolean, n long, posterior double"))
-    by = lambda m: limits.where(F.col("bytes") == (m == "bytes")).select(F.col("source").alias("s_"), F.col("n").alias("n_"), F.col("posterior").alias(f"at_{m}"))
+    read = stash(article_endings(docs, source, title, body, key, known_shares(docs, source, body)))
+    ends = read.where("kind = 'end'").drop("kind", "n", "n_end")
+    sizes = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("n")) for m in ("chars", "bytes", "article")])
+    measured = ends.where("last or form <> 'closed'").select("source", F.explode(sizes).alias("m")).select("source", "m.measure", "m.n")
+    histogram = measured.groupBy("source", "measure", "n").agg(F.count("*").alias("rows"))
+    limits = stash(histogram.groupBy("source", "measure").applyInPandas(lambda pdf: length_limits(pdf), "source long, measure string, n long, posterior double"))
     placed = ends
-    for m in ("chars", "bytes"):
-        placed = placed.join(hinted(by(m)), F.col("source").eqNullSafe(F.col("s_")) & (F.col(m) == F.col("n_")), "left").drop("s_", "n_")
-    open_ends = placed.where("form <> 'closed'")
-    total = lambda kind, name: read.where(F.col("kind") == kind).groupBy("word").agg(F.sum("n").alias(name))
-    final = lambda of, name: total("final", name).withColumnRenamed("word", of).join(open_ends.select(of).distinct(), of, "left_semi")
-    known = total("word", "n_word").join(open_ends.select("word").distinct(), "word", "left_semi")
-    judged = placed.join(final("triple", "n_triple"), "triple", "left").join(final("pair", "n_pair"), "pair", "left").join(known, "word", "left")
-    n_triple, n_pair, n_word = (F.coalesce(n, F.lit(0)) for n in ("n_triple", "n_pair", "n_word"))
-    # The text's own last word is among those counted.
-    strange = n_word <= 2
-    evidence = (
-        F.when(F.col("form") == "closed", -9.0)
-        .when(F.col("form") == "broken", 9.0)
-        .when(F.col("form") == "open", 6.0)
-        .when(n_triple >= 2, -5.0)
-        .when(F.col("form") == "listed", F.when(strange, 2.0).otherwise(-4.0))
-        .when(strange, 7.0)
-        .when(n_pair == 0, 5.0)
-        .when(n_triple == 0, 1.5)
-        .otherwise(0.0)
-    ) + F.when((F.col("form") == "bare") & F.col("spaced") & F.col("last"), 2.0).otherwise(0.0)
-    posterior = F.greatest(F.lit(base), F.when(F.col("last"), F.greatest(F.coalesce("at_chars", F.lit(0.0)), F.coalesce("at_bytes", F.lit(0.0)))).otherwise(0.0))
+    for m in ("chars", "bytes", "article"):
+        by = limits.where(F.col("measure") == m).select(F.col("source").alias("s_"), F.col("n").alias("n_"), F.col("posterior").alias(f"at_{m}"))
+        placed = placed.join(hinted(by), F.col("source").eqNullSafe(F.col("s_")) & (F.col(m) == F.col("n_")), "left").drop("s_", "n_")
+    counted = read.where("kind = 'word'").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))
+    # How often any word ends a sentence, and how many of those are met once or twice.
+    whole = F.broadcast(counted.agg(
+        ((F.sum("n_end") + 1) / (F.sum("n") + 20)).alias("rate"), ((F.sum(F.when(F.col("n") <= 2, F.col("n_end"))) + 1) / (F.sum("n_end") + 20)).alias("rare"),
+    ))
+    own = ends.where("form not in ('closed', 'broken', 'open')").groupBy("word").agg(F.count("*").alias("n_own"))
+    known = own.join(counted, "word", "left").crossJoin(whole)
+    # Uses of the word elsewhere than at endings that may be cuts themselves.
+    elsewhere = F.greatest(F.coalesce("n", F.lit(0)) - F.col("n_own"), F.lit(0))
+    bound = lambda x: F.greatest(F.lit(-WORD_ODDS), F.least(F.lit(WORD_ODDS), x))
+    says = F.when(elsewhere == 0, F.log(F.lit(INSIDE_WORD) / F.least(F.col("rare"), F.lit(INSIDE_WORD)))).otherwise(F.log(F.col("rate") / ((F.coalesce("n_end", F.lit(0)) + F.col("rate") / 2) / (elsewhere + 0.5))))
+    words_say = known.select("word", bound(F.coalesce(says, F.lit(0.0))).alias("says"))
+    judged = placed.join(words_say, "word", "left").withColumn("says", F.when(F.col("form").isin("closed", "broken", "open"), 0.0).otherwise(F.coalesce("says", F.lit(0.0))))
+    # Bare ends with words that end sentences are what whole texts of the source look like.
+    habit = judged.groupBy("source").agg(((F.count_if((F.col("form") == "bare") & (F.col("says") < -1)) + 1) / (F.count("*") + 30)).alias("habit")).withColumnRenamed("source", "s_")
+    judged = judged.join(hinted(habit), F.col("source").eqNullSafe(F.col("s_")), "left").drop("s_")
+    form = F.coalesce(*[F.when(F.col("form") == f, F.lit(odds)) for f, odds in FORM_ODDS.items()], F.log(F.lit(BARE_IF_CUT) / F.col("habit")))
+    headline = F.when((F.col("form") == "bare") & F.col("single") & ~F.col("last"), HEADLINE_ODDS).otherwise(0.0)
+    spaced = F.when(F.col("form").isin("bare", "open") & F.col("spaced") & F.col("last"), 2.0).otherwise(0.0)
+    at = lambda m: F.coalesce(f"at_{m}", F.lit(0.0))
+    stands = F.when(F.col("last"), F.greatest(at("chars"), at("bytes"), at("article"))).otherwise(at("article")) if fits else F.lit(0.0)
+    posterior = F.greatest(F.lit(base), stands)
     prior = F.least(posterior, F.lit(0.98))
-    logit = evidence + F.log(prior / (1 - prior))
-    probability = 1 / (1 + F.exp(-logit))
-    return judged.select("key", "source", "chars", "form", posterior.alias("posterior"), probability.alias("probability"), (probability > 0.5).alias("cut"), "pair", "last")
+    probability = 1 / (1 + F.exp(-(F.log(prior / (1 - prior)) + form + F.col("says") + spaced + headline)))
+    each = judged.select("key", "source", "chars", "form", "word", "says", "habit", "last", posterior.alias("posterior"), probability.alias("probability"))
+    return each.groupBy("key", "source", "chars").agg(F.max_by(F.struct("form", "posterior", "probability", "word", "says", "habit", "last"), "probability").alias("b")).select("key", "source", "chars", "b.*", (F.col("b.probability") > 0.5).alias("cut"))
 
 
-def truncation_report(judged: DataFrame) -> DataFrame:
-    """(source, n_rows, n_cut, share): how often each source truncates."""
-    return judged.groupBy("source").agg(F.count("*").alias("n_rows"), F.count_if("cut").alias("n_cut")).withColumn("share", F.round(F.col("n_cut") / F.col("n_rows"), 4))
+def truncation_report(docs: DataFrame, judged: DataFrame, key: str = "id", source: str = "veiculo_id") -> DataFrame:
+    """(source, n_rows, n_cut, share): how often each source truncates, over all rows it has in ``docs``."""
+    rows = docs.groupBy(F.col(source).cast("long").alias("source")).agg(F.count("*").alias("n_rows"))
+    cut = docs.select(F.col(key).cast("long").alias("key"), F.col(source).cast("long").alias("source")).join(judged.where("cut").select("key").distinct(), "key").groupBy(F.col("source").alias("s_")).agg(F.count("*").alias("n_cut"))
+    joined = rows.join(cut, F.col("source").eqNullSafe(F.col("s_")), "left").select("source", "n_rows", F.coalesce("n_cut", F.lit(0)).alias("n_cut"))
+    return joined.withColumn("share", F.round(F.col("n_cut") / F.col("n_rows"), 4))
