@@ -1,183 +1,206 @@
 """Lines and blocks of lines repeated across the documents of one source.
 
-Suffix arrays over line identifiers: every document becomes runs of the lines
-that may be repeated; the distinct runs of a source are its text, weighted by
-the documents that hold them; their suffixes are sorted, and the common
-prefixes of neighbours give the repeated blocks.
+Suffix arrays over line identifiers: the lines of every document are its text,
+cut where a line stands in no other document of the source.  Each suffix knows
+from which length on it is new in its document, so that the common prefixes of
+sorted neighbours give every repeated block with the number of distinct
+documents that hold it.  Those numbers alone decide what is repeated.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm.lines import frequent_lines
 from corvina.llm.text import hash64, line_key
-from corvina.session import BROADCAST_ROWS, hinted, small, stash
+from corvina.session import hinted, stash
 
+#: Lines of a block, at most; longer blocks come out as overlapping pieces, their lines all the same.
+BLOCK_LINES = 64
+#: Distinct suffixes a task counts before it hands them on.
+HELD_SUFFIXES = 200_000
 
-def marked_lines(docs: DataFrame, frequent: DataFrame, key: str, source: str, text: str) -> DataFrame:
-    """(key, source, linhas, lines, runs): where each document holds frequent lines.
 
-    ``linhas`` counts from 1 over all pieces split at line ends; ``runs`` are
-    the stretches of frequent lines with no other text between them (empty
-    lines don't part them).  The table of frequent lines is held by the workers
-    if its counted rows allow it; else it is joined line by line.
+def document_lines(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
+    """(rid, key, source, linhas, lines): the lines of each document as 64-bit identifiers.
+
+    ``linhas`` counts from 1 over all pieces split at line ends; lines with
+    nothing but digits, spacing and closing punctuation are left out.
     """
-    picked = docs.select(F.col(key).alias("key"), F.col(source).cast("long").alias("source"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    schema = "key long, source long, linhas array<int>, lines array<long>, runs array<array<long>>"
-
-    def runs_of(at: list[tuple[int, int | None]]) -> list[list[int]]:
-        runs, run = [], []
-        for _, line in at:
-            if line is None:
-                if run:
-                    runs.append(run)
-                run = []
-            else:
-                run.append(line)
-        return [list(r) for r in {tuple(r) for r in [*runs, *([run] if run else [])]}]
-
-    def row(k: int, src, at: list) -> tuple:
-        hits = [(i, line) for i, line in at if line is not None]
-        return k, src, [i for i, _ in hits], [line for _, line in hits], runs_of(at)
-
-    if small(frequent, BROADCAST_ROWS):
-        held = picked.sparkSession.sparkContext.broadcast({(r.source, r.line) for r in frequent.select("source", "line").toLocalIterator()})
-
-        def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known = held.value
-            hashes: dict[str, int] = {}
-            for batch in batches:
-                out = []
-                for k, src, body in zip(batch["key"], batch["source"], batch["text"], strict=True):
-                    src = None if pd.isna(src) else int(src)
-                    at = []
-                    for i, piece in enumerate(body.split("\n"), 1):
-                        if name := line_key(piece):
-                            if (h := hashes.get(name)) is None:
-                                h = hash64(name)
-                                if len(name) < 300 and len(hashes) < 200_000:
-                                    hashes[name] = h
-                            at.append((i, h if (src, h) in known else None))
-                    if any(line is not None for _, line in at):
-                        out.append(row(k, src, at))
-                yield pd.DataFrame(out, columns=["key", "source", "linhas", "lines", "runs"])
-
-        return picked.mapInPandas(mark, schema)
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            linhas, lines = [], []
+            for body in batch["text"]:
+                at, of = [], []
+                for i, piece in enumerate(body.split("\n"), 1):
+                    if piece and (name := line_key(piece)):
+                        if (h := known.get(name)) is None:
+                            h = hash64(name)
+                            if len(name) < 300 and len(known) < 200_000:
+                                known[name] = h
+                        at.append(i), of.append(h)
+                linhas.append(at), lines.append(of)
+            yield batch.drop(columns="text").assign(linhas=linhas, lines=lines)
+
+    picked = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), F.col(source).cast("long").alias("source"), F.col(text).alias("text"))
+    return picked.where(F.col("text").isNotNull()).mapInPandas(read, "rid long, key long, source long, linhas array<int>, lines array<long>")
+
+
+def common_prefix(x: tuple, y: tuple) -> int:
+    n = 0
+    for a, b in zip(x, y, strict=False):
+        if a != b:
+            break
+        n += 1
+    return n
+
+
+def new_suffixes(runs: list[list[int]], block: int = BLOCK_LINES) -> Iterator[tuple[tuple, int]]:
+    """(suffix, length from which it is new) of one document, whose sorted suffixes share shorter prefixes with the one before."""
+    suffixes = sorted({tuple(run[i : i + block]) for run in runs for i in range(len(run))})
+    if suffixes:
+        yield suffixes[0], 1
+    for before, suffix in pairwise(suffixes):
+        yield suffix, common_prefix(before, suffix) + 1
+
+
+def suffix_array(lines: DataFrame, floor: DataFrame) -> DataFrame:
+    """(source, least, suffix, since, weight), sorted by source and suffix within ranges of them.
+
+    ``lines`` comes from :func:`document_lines`, ``floor`` is (source, least).
+    Lines that stand in one document only part its text; that bound can't
+    decide anything, as ``least`` is two or more.  Equal suffixes of many
+    documents are one row.
+    """
+    places = lines.select("rid", "source", F.explode(F.arrays_zip("linhas", "lines")).alias("at")).select("rid", "source", F.col("at.linhas").alias("linha"), F.col("at.lines").alias("line"))
+    shared = lines.select("source", F.explode(F.array_distinct("lines")).alias("line")).groupBy("source", "line").agg(F.count("*").alias("n")).where("n > 1").select(F.col("source").alias("s_"), F.col("line").alias("l_"))
+    marked = places.join(shared, F.col("source").eqNullSafe(F.col("s_")) & (F.col("line") == F.col("l_")), "left")
+    texts = marked.groupBy("rid", "source").agg(F.sort_array(F.collect_list(F.struct("linha", "line", F.col("l_").isNull().alias("gap")))).alias("at")).select("source", F.col("at.line").alias("line"), F.col("at.gap").alias("gap"))
+
+    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: Counter = Counter()
+
+        def flush() -> pd.DataFrame:
+            found = pd.DataFrame([(s, list(x), since, n) for (s, x, since), n in held.items()], columns=["source", "suffix", "since", "weight"]).astype({"source": "Int64"})
+            held.clear()
+            return found
+
         for batch in batches:
-            out = [
-                (k, src, i, hash64(name))
-                for k, src, body in zip(batch["key"], batch["source"], batch["text"], strict=True)
-                for i, piece in enumerate(body.split("\n"), 1)
-                if (name := line_key(piece))
-            ]
-            yield pd.DataFrame(out, columns=["key", "source", "linha", "line"]).astype({"source": "Int64"})
-
-    @F.pandas_udf("array<array<long>>")
-    def runs(at: pd.Series) -> pd.Series:
-        return at.map(lambda xs: runs_of([(x["linha"], None if x["gap"] else int(x["line"])) for x in xs]))
-
-    wanted = frequent.select(F.col("source").alias("s_"), F.col("line").alias("l_"))
-    lines = picked.mapInPandas(split, "key long, source long, linha int, line long")
-    at = (
-        lines.join(wanted, F.col("source").eqNullSafe(F.col("s_")) & (F.col("line") == F.col("l_")), "left")
-        .groupBy("key", "source")
-        .agg(F.sort_array(F.collect_list(F.struct("linha", F.coalesce("l_", F.lit(0)).alias("line"), F.col("l_").isNull().alias("gap")))).alias("at"))
-    )
-    hits = F.filter("at", lambda x: ~x["gap"])
-    return at.where(F.size(hits) > 0).select("key", "source", F.transform(hits, lambda x: x["linha"]).alias("linhas"), F.transform(hits, lambda x: x["line"]).alias("lines"), runs("at").alias("runs"))
-
-
-def repeated_blocks(marked: DataFrame, floor: DataFrame) -> DataFrame:
-    """(source, block, n_docs): maximal blocks of lines in at least ``floor`` documents of a source.
-
-    ``marked`` comes from :func:`marked_lines`, ``floor`` is (source, least).
-    Distinct runs are counted before anything is sorted.  All suffixes that
-    share a prefix begin with the same line, so each (source, first line) is
-    sorted by itself; a stack over the common prefixes of neighbours emits each
-    block once, at its full length.
+            for src, line, gap in zip(batch["source"], batch["line"], batch["gap"], strict=True):
+                src = None if pd.isna(src) else int(src)
+                runs, run = [], []
+                for x, g in zip(line.tolist(), gap.tolist(), strict=True):
+                    if g:
+                        runs.append(run)
+                        run = []
+                    else:
+                        run.append(x)
+                runs.append(run)
+                held.update((src, suffix, since) for suffix, since in new_suffixes(runs))
+            if len(held) >= HELD_SUFFIXES:
+                yield flush()
+        if held:
+            yield flush()
+
+    counted = texts.mapInPandas(expand, "source long, suffix array<long>, since int, weight long").groupBy("source", "suffix", "since").agg(F.sum("weight").alias("weight"))
+    sized = stash(counted.join(hinted(floor.select(F.col("source").alias("s_"), "least")), F.col("source").eqNullSafe(F.col("s_"))).select("source", "least", "suffix", "since", "weight"))
+    # Ranges, so that one line that begins a third of all suffixes is no single task.
+    return sized.repartitionByRange("source", "suffix").sortWithinPartitions("source", "suffix")
+
+
+def repeated_blocks(suffixes: DataFrame) -> DataFrame:
+    """(source, block, n_docs): maximal blocks of lines in at least ``least`` documents of a source.
+
+    ``suffixes`` comes from :func:`suffix_array`.  A stack over the common
+    prefixes of neighbours counts each block once, at its full length; prefixes
+    that reach over the border of a range come out in parts, which are added up.
     """
-    runs = marked.select("source", F.explode("runs").alias("run")).groupBy("source", "run").agg(F.count("*").alias("weight"))
-    suffixes = (
-        runs.select("source", "weight", F.explode(F.expr("transform(sequence(1, size(run)), i -> slice(run, i, size(run)))")).alias("suffix"))
-        .groupBy("source", "suffix")
-        .agg(F.sum("weight").alias("weight"))
-        .join(hinted(floor.select(F.col("source").alias("s_"), "least")), F.col("source").eqNullSafe(F.col("s_")))
-        .select("source", "suffix", "weight", "least", F.col("suffix")[0].alias("first"))
-        .repartition("source", "first")
-        .sortWithinPartitions("source", "suffix")
-    )
 
     def intervals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: list[int] = []  # the suffix before
-        src, least = None, 0
-        open_: list[list[int]] = []  # its prefixes that may still grow: [length, documents]
+        stack: list[tuple[int, Counter]] = []  # prefixes of the suffix before that may still grow: length, documents by since
+        last: tuple = ()
+        src = least = None
+        first: tuple | None = None  # the first suffix of the range, its source, and how many documents share its prefixes
+        first_src, head, leads = None, Counter(), True
         out: list[tuple] = []
 
         def close(common: int) -> None:
-            inner = 0
-            while open_ and open_[-1][0] > common:
-                length, n = open_.pop()
-                inner += n
-                if inner >= least:
-                    out.append((src, last[:length], inner))
-            if inner and common:
-                if open_ and open_[-1][0] == common:
-                    open_[-1][1] += inner
-                else:
-                    open_.append([common, inner])
-
-        def flush() -> pd.DataFrame:
-            found = pd.DataFrame(out, columns=["source", "block", "n_docs"]).astype({"source": "Int64"})
+            while stack and stack[-1][0] > common:
+                length, docs = stack.pop()
+                n = sum(docs.values())
+                if n >= least and not (src == first_src and last[:length] == first[:length]):
+                    out.append((src, list(last[:length]), least, n, True))
+                below = max(common, stack[-1][0] if stack else 0)
+                if below:
+                    kept = Counter({f: w for f, w in docs.items() if f <= below})
+                    if stack and stack[-1][0] == below:
+                        stack[-1][1].update(kept)
+                    else:
+                        stack.append((below, kept))
+
+        def table() -> pd.DataFrame:
+            found = pd.DataFrame(out, columns=["source", "block", "least", "n_docs", "whole"]).astype({"source": "Int64"})
             out.clear()
             return found
 
         for batch in batches:
-            for s, suffix, n, at_least in zip(batch["source"], batch["suffix"], batch["weight"], batch["least"], strict=True):
-                s, suffix, common = None if pd.isna(s) else int(s), list(suffix), 0
-                if s == src:
-                    for x, y in zip(last, suffix, strict=False):
-                        if x != y:
-                            break
-                        common += 1
-                close(common)
-                if open_ and open_[-1][0] == len(suffix):
-                    open_[-1][1] += int(n)
-                else:
-                    open_.append([len(suffix), int(n)])
-                last, src, least = suffix, s, at_least
+            for s, suffix, at_least, since, weight in zip(batch["source"], batch["suffix"], batch["least"], batch["since"], batch["weight"], strict=True):
+                s, suffix = None if pd.isna(s) else int(s), tuple(suffix.tolist())
+                if first is None:
+                    first, first_src, head_least = suffix, s, at_least
+                close(common_prefix(last, suffix) if s == src else 0)
+                src, last, least = s, suffix, at_least
+                shared = common_prefix(first, suffix) if leads and s == first_src else 0
+                leads = shared > 0
+                for m in range(since, shared + 1):
+                    head[m] += weight
+                if since <= len(suffix):
+                    if stack and stack[-1][0] == len(suffix):
+                        stack[-1][1][since] += weight
+                    else:
+                        stack.append((len(suffix), Counter({since: weight})))
             if out:
-                yield flush()
-        close(0)
-        if out:
-            yield flush()
-
-    return suffixes.mapInPandas(intervals, "source long, block array<long>, n_docs long")
+                yield table()
+        if first is None:
+            return
+        both = common_prefix(first, last) if leads else 0
+        out += [(first_src, list(first[:m]), head_least, head[m], False) for m in range(both + 1, len(first) + 1)]
+        for m in range(1, len(last) + 1):
+            out.append((src, list(last[:m]), least, sum(w for length, docs in stack if length >= m for f, w in docs.items() if f <= m), False))
+        yield table()
+
+    found = stash(suffixes.mapInPandas(intervals, "source long, block array<long>, least long, n_docs long, whole boolean"))
+    parts = found.where(~F.col("whole")).groupBy("source", "block", "least").agg(F.sum("n_docs").alias("n_docs")).where("n_docs >= least")
+    blocks = found.where("whole").select("source", "block", "n_docs").unionByName(parts.select("source", "block", "n_docs"))
+    # A part that always goes on alike is no maximal block.
+    longer = blocks.where(F.size("block") > 1).select(F.col("source").alias("s_"), F.expr("slice(block, 1, size(block) - 1)").alias("b_"), F.col("n_docs").alias("n_")).distinct()
+    return blocks.join(longer, F.col("source").eqNullSafe(F.col("s_")) & (F.col("block") == F.col("b_")) & (F.col("n_docs") == F.col("n_")), "left_anti")
 
 
 def repeated_lines(docs: DataFrame, key: str = "id", source: str = "veiculo_id", text: str = "corpo", share: float = 0.05, least: int = 5) -> DataFrame:
     """(key, source, linha, line): lines of repeated blocks, at each place where they stand.
 
     A line is repeated if its text (letter case, spacing, digits and closing
-    punctuation aside) stands in at least ``least`` rows of its source and in
-    at least ``share`` of the source's rows.  ``linha`` counts from 1 over all
-    pieces of the text split at line ends.  Null texts and empty tables give no
-    rows; a null source is a source of its own; rows repeated under one key are
-    listed once each; other columns of ``docs`` are not read.
+    punctuation aside) stands in at least ``least`` (two or more) rows of its
+    source and in at least ``share`` of the source's rows.  ``linha`` counts
+    from 1 over all pieces of the text split at line ends.  Null texts and
+    empty tables give no rows; a null source is a source of its own; rows
+    repeated under one key are listed once each; other columns of ``docs`` are
+    not read.
     """
-    frequent = stash(frequent_lines(docs, source, text, share, least))
-    marked = stash(marked_lines(docs, frequent, key, source, text))
-    floor = frequent.groupBy("source").agg(F.greatest(F.lit(least), F.ceil(F.max("n_rows") * F.lit(float(share)))).alias("least"))
-    blocks = repeated_blocks(marked, floor)
-    # Every line of a run has been counted exactly; the blocks decide which stay.
+    lines = stash(document_lines(docs, key, source, text))
+    rows = docs.groupBy(F.col(source).cast("long").alias("source")).agg(F.count("*").alias("n_rows"))
+    floor = rows.select("source", F.greatest(F.lit(max(least, 2)), F.ceil(F.col("n_rows") * F.lit(float(share)))).cast("long").alias("least"))
+    blocks = repeated_blocks(suffix_array(lines, floor))
     covered = blocks.select(F.col("source").alias("s_"), F.explode("block").alias("l_")).distinct()
-    places = marked.select("key", "source", F.explode(F.arrays_zip("linhas", "lines")).alias("at")).select("key", "source", F.col("at.linhas").alias("linha"), F.col("at.lines").alias("line"))
+    places = lines.select("key", "source", F.explode(F.arrays_zip("linhas", "lines")).alias("at")).select("key", "source", F.col("at.linhas").alias("linha"), F.col("at.lines").alias("line"))
     return places.join(hinted(covered), F.col("source").eqNullSafe(F.col("s_")) & (F.col("line") == F.col("l_")), "left_semi")
 
 
