@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from corvina.llm.furniture import ENDED, FURNITURE_SHARE, seed_furniture
 from corvina.llm.lines import frequent_lines
 from corvina.llm.residue import FUNCTION
-from corvina.llm.text import hash64, line_key
+from corvina.llm.text import bare_key, hash64, line_key
 from corvina.session import small, stash
 
 #: Least share of a source's rows from which the share of a line is told to the classifier.
@@ -46,14 +46,16 @@ COLUMNS = ("share", "titled", *FLAGS, *DETAILS)
 COL = {name: i for i, name in enumerate(COLUMNS)}
 
 
-def line_flags(s: str, low: str) -> tuple:
-    """What a stripped line (``low``: in lower case) shows by itself, in the order of ``FLAGS``."""
-    parts = low.split()
+def line_flags(s: str, low: str, parts: list[str]) -> tuple:
+    """What a stripped line (``low``: in lower case, ``parts``: its words) shows by itself, in the order of ``FLAGS``."""
     n = len(parts)
-    ended, seed = s[-1:] in ".!?…" or bool(ENDED.search(s[-16:])), seed_furniture(s, low)
-    prose = n >= 8 and not seed and sum(map(FUNCTION.__contains__, parts)) > 0.1 * n and (ended or INNER.search(s) is not None)
+    ended = s[-1:] in ".!?…" or ENDED.search(s[-16:]) is not None
+    seed = seed_furniture(s, low, ended)
+    prose = n >= 8 and not seed and (ended or INNER.search(s) is not None) and sum(map(FUNCTION.__contains__, parts)) > 0.1 * n
+    if prose:
+        return n, ended, seed, s[:2] in ("- ", "* ", "> "), NUMBERED.match(s) is not None, s[0].islower(), False, False, True
     sourced = not ended and ")" in s[-90:] and SOURCED.search(s[-90:]) is not None
-    return n, ended, seed, s.startswith(("- ", "* ", "> ")), NUMBERED.match(s) is not None, s[:1].islower(), not prose and HEADING.match(low) is not None, sourced, prose
+    return n, ended, seed, s[:2] in ("- ", "* ", "> "), NUMBERED.match(s) is not None, s[:1].islower(), HEADING.match(low) is not None, sourced, False
 
 
 def line_details(s: str, low: str) -> tuple:
@@ -129,8 +131,9 @@ class Pages:
         if (found := self.static.get(line)) is None:
             s = line.strip()
             low = s.lower()
-            row = line_flags(s, low)
-            found = (row + line_details(s, low) if self.details else row), hash64(line_key(line))
+            parts = low.split()
+            row = line_flags(s, low, parts)
+            found = (row + line_details(s, low) if self.details else row), hash64(bare_key("".join(parts)))
             if len(line) < 200 and len(self.static) < self.held:
                 self.static[line] = found
         return found

@@ -32,9 +32,15 @@ MENU = re.compile(r"^\W*\w[\w'’ -]{0,24}(?:\s*(?:[|•·/»>]|\s{2,})\s*\w[\w'
 ENDED = re.compile(r"[.!?…][\"'”’»)\]]*\s*$")
 
 
-def seed_furniture(line: str, low: str | None = None) -> bool:
+def seed_furniture(line: str, low: str | None = None, ended: bool | None = None) -> bool:
     """Whether a line shows by its own words (``low``: in lower case) that it is furniture."""
     low = line.lower() if low is None else low
-    if STARTS.match(low) or any(part in low for part in PARTS) or ("|" in line and DATED.search(low)):
+    if STARTS.match(low):
         return True
-    return line[-1:] not in ".!?…" and not ENDED.search(line[-16:]) and MENU.match(line) is not None
+    for part in PARTS:
+        if part in low:
+            return True
+    if "|" in line and DATED.search(low):
+        return True
+    ended = line[-1:] in ".!?…" or ENDED.search(line[-16:]) is not None if ended is None else ended
+    return not ended and MENU.match(line) is not None

@@ -1,16 +1,15 @@
 """Mixing sources to target shares of tokens.
 
 Texts are counted once each and grouped by the set of sources that hold them.
-These few patterns, not the texts, enter a min-cost flow: tokens run from each
+These patterns, not the texts, enter a min-cost flow: tokens run from each
 repetition of a pattern to the sources' quotas, later repetitions costing ever
-more.  The flow of each arc is then filled with texts in a seeded order.
+more.  There are as many patterns as sets of listed sources that share a text.  The flow of each arc is then filled with texts in a seeded order.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,10 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from corvina.session import hinted, small, stash
+from corvina.session import hinted, stash
 
-#: Patterns that one flow takes; with more, each text counts for the source of its own row.
-PATTERNS = 5_000
 #: Ranges of the seeded order, so that no pattern is summed up in one task.
 RANGES = 1_024
 # Fixed value: the split pattern of the public byte-level vocabulary.
@@ -44,70 +41,114 @@ def token_counts(texts: DataFrame, text: str, ranks: str) -> DataFrame:
     return texts.mapInPandas(count, schema)
 
 
-@dataclass
-class Arc:
-    """An arc of the flow with what is left of its capacity."""
+class Network:
+    """A flow from patterns of texts over sources to their quotas, grown one repetition after the other.
 
-    to: int
-    room: int
-    cost: float
-    back: int
-    key: tuple | None = None
+    Costs hang on the repetition alone and do not fall, so the cheapest flow
+    comes by filling the quotas as far as the first uses go, then the second,
+    and so on: augmenting never gives back what was drawn before.
+    """
+
+    def __init__(self, sources: list[str]) -> None:
+        self.quota = {s: 0 for s in sources}
+        self.drawn = {s: 0 for s in sources}
+        self.supply: list[int] = []  # what is left of each (pattern, repetition)
+        self.keys: list[tuple] = []
+        self.flow: dict[str, dict[int, int]] = {s: {} for s in sources}  # source -> supply number -> tokens
+        self.reach: list[list[str]] = []
+
+    def add(self, key: tuple, tokens: int, sources: list[str]) -> None:
+        self.keys.append(key), self.supply.append(tokens), self.reach.append(sources)
+
+    def _path(self, start: int) -> list | None:
+        """Shortest way from a supply to a source with room, through flows that can be moved."""
+        came: dict[str, tuple[str | None, int]] = {s: (None, start) for s in self.reach[start]}
+        todo = list(came)
+        while todo:
+            later = []
+            for s in todo:
+                if self.drawn[s] < self.quota[s]:
+                    steps, at = [], s
+                    while True:
+                        before, k = came[at]
+                        steps.append((before, k, at))
+                        if before is None:
+                            return steps[::-1]
+                        at = before
+                for k, n in self.flow[s].items():
+                    if n > 0:
+                        for t in self.reach[k]:
+                            if t not in came:
+                                came[t] = (s, k)
+                                later.append(t)
+            todo = later
+        return None
+
+    def fill(self, first: int = 0) -> None:
+        """Draws all that the quotas take from the supplies from number ``first`` on."""
+        for k in range(first, len(self.supply)):
+            while self.supply[k] > 0 and (path := self._path(k)):
+                last = path[-1][2]
+                push = min([self.supply[k], self.quota[last] - self.drawn[last], *(self.flow[s][j] for s, j, _ in path if s is not None)])
+                for s, j, t in path:
+                    if s is not None:
+                        self.flow[s][j] -= push
+                    self.flow[t][j] = self.flow[t].get(j, 0) + push
+                self.supply[k] -= push
+                self.drawn[last] += push
+
+    def missing(self) -> list[str]:
+        """Sources whose quotas can't be met, with those that hold what these could draw: the tight side of the flow."""
+        short = {s for s in self.quota if self.drawn[s] < self.quota[s]}
+        todo = list(short)
+        while todo:
+            t = todo.pop()
+            for s in self.flow:
+                if s not in short and any(n > 0 and t in self.reach[k] for k, n in self.flow[s].items()):
+                    short.add(s)
+                    todo.append(s)
+        return sorted(short)
 
 
-def min_cost_flow(supply: dict[tuple, int], uses: dict[tuple, list], quota: dict, cost) -> dict[tuple, int]:
-    """Tokens on each arc (pattern, repetition, source) that fill the quotas as far as they can at least cost.
+def min_cost_flow(supply: dict[tuple, int], uses: dict[tuple, list], quota: dict) -> dict[tuple, int]:
+    """Tokens on each arc (pattern, repetition, source) that fill the quotas as far as they can, earlier repetitions first.
 
-    ``supply``: tokens of each (pattern, repetition); ``uses``: its sources;
-    ``cost(repetition)`` must not fall.  Successive shortest paths; the graph
-    has one node for each pattern, repetition and source.
+    ``supply``: tokens of each (pattern, repetition); ``uses``: its sources.
     """
-    nodes: dict = {}
-    node = lambda x: nodes.setdefault(x, len(nodes))
-    s, t = node("from"), node("to")
-    graph: list[list[Arc]] = []
-
-    def arc(a: int, b: int, room: int, price: float, key: tuple | None = None) -> None:
-        while len(graph) <= max(a, b):
-            graph.append([])
-        graph[a].append(Arc(b, room, price, len(graph[b]), key))
-        graph[b].append(Arc(a, 0, -price, len(graph[a]) - 1))
-
-    for k, tokens in supply.items():
-        arc(s, node(k), tokens, cost(k[1]))
-        for source in uses[k]:
-            arc(node(k), node(("source", source)), tokens, 0.0, (*k, source))
-    for source, tokens in quota.items():
-        arc(node(("source", source)), t, tokens, 0.0)
-    while len(graph) < len(nodes):
-        graph.append([])
+    net = Network(list(quota))
+    net.quota = dict(quota)
+    for level in sorted({r for _, r in supply}):
+        first = len(net.supply)
+        for key in sorted(k for k in supply if k[1] == level):
+            net.add(key, supply[key], [s for s in uses[key] if s in quota])
+        net.fill(first)
+    return {(*net.keys[k], s): n for s, flows in net.flow.items() for k, n in flows.items() if n > 0}
+
+
+def largest_total(supply: dict[tuple, int], uses: dict[tuple, list], target: dict[str, float]) -> int:
+    """The greatest total of which every source can have its target share, found by the flow itself.
+
+    From the least that the sources could have alone, the total is lowered to
+    what the tight sources can draw together, until all quotas are met.
+    """
+    if not target:
+        return 0
+    alone = {s: sum(n for k, n in supply.items() if s in uses[k]) for s in target}
+    total = min(int(alone[s] / x) for s, x in target.items())
     while True:
-        far = [float("inf")] * len(graph)
-        came: list[tuple[int, int] | None] = [None] * len(graph)
-        far[s], todo = 0.0, [s]
-        while todo:
-            later = []
-            for a in todo:
-                for i, e in enumerate(graph[a]):
-                    if e.room > 0 and far[a] + e.cost < far[e.to] - 1e-9:
-                        far[e.to], came[e.to] = far[a] + e.cost, (a, i)
-                        later.append(e.to)
-            todo = later
-        if came[t] is None:
-            break
-        path, at = [], t
-        while at != s:
-            a, i = came[at]
-            path.append(graph[a][i])
-            at = a
-        push = min(e.room for e in path)
-        for e in path:
-            e.room -= push
-            graph[e.to][e.back].room += push
-    return {e.key: graph[e.to][e.back].room for arcs in graph for e in arcs if e.key and graph[e.to][e.back].room > 0}
-
-
-def mix(docs: DataFrame, weights: DataFrame, ranks: str, key: str = "doc_id", text: str = "text", source: str = "source", weight: str = "peso", most: str = "max_repeticoes", total: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+        net = Network(list(target))
+        net.quota = {s: int(total * x) for s, x in target.items()}
+        for key in sorted(supply):
+            net.add(key, supply[key], uses[key])
+        net.fill()
+        tight = net.missing()
+        if not any(net.drawn[s] < net.quota[s] for s in target):
+            return total
+        held = sum(n for k, n in supply.items() if set(uses[k]) & set(tight))
+        total = min(total - 1, int(held / sum(target[s] for s in tight)))
+
+
+def mix(docs: DataFrame, weights: DataFrame, ranks: str, key: str = "doc_id", text: str = "text", source: str = "source", weight: str = "peso", most: str = "max_repeticoes", total: int | None = None, all_tokens: bool = False, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """((source, peso, target, n_tokens, share, n_documents, most_uses), (key, source, uses)).
 
     The first table has every listed source, with its weight, the share of
@@ -115,7 +156,9 @@ def mix(docs: DataFrame, weights: DataFrame, ranks: str, key: str = "doc_id", te
     spread over the others), and what it got.  The second has the documents to
     take and how often.  ``total`` is the number of tokens to reach; by
     default the largest at which every source can meet its share with its
-    documents used as often as allowed.  A text that stands in several rows
+    documents used as often as allowed; with ``all_tokens`` as many as the
+    listed sources hold, where short sources repeat as often as they may and
+    may still fall short of their share.  A text that stands in several rows
     or sources is one text: it is used at most as often as the source allows
     that it is used for.  Sources that aren't listed, null and empty texts and
     null keys are not used; an empty ``docs`` gives shares of 0.
@@ -132,21 +175,16 @@ def mix(docs: DataFrame, weights: DataFrame, ranks: str, key: str = "doc_id", te
     patterns = holders.groupBy("tid").agg(F.array_join(F.sort_array(F.collect_set("source")), "\n").alias("pattern"), F.min("key").alias("key"))
     counted = token_counts(rows.join(patterns.select("tid", "key"), ["tid", "key"], "left_semi").select("tid", "text").dropDuplicates(["tid"]), "text", ranks).select("tid", "n_tokens")
     texts = stash(patterns.select("tid", "pattern").join(counted, "tid").where("n_tokens > 0").withColumn("order", F.xxhash64("tid", F.lit(seed))))
-    if not small(texts.select("pattern").distinct(), PATTERNS):
-        first = holders.groupBy("tid").agg(F.min_by("source", "key").alias("pattern"))
-        texts = stash(texts.drop("pattern").join(first, "tid"))
+    # One row a pattern: the sets of listed sources that share a text, whatever the number of texts.
     supply = {r.pattern: int(r.n) for r in texts.groupBy("pattern").agg(F.sum("n_tokens").alias("n")).collect()}
     sources = {r.source: (r.weight, r.most) for r in listed.collect()}
-    alone: dict[str, int] = {}
-    for p, n in supply.items():
-        for s in p.split("\n"):
-            alone[s] = alone.get(s, 0) + n * sources[s][1]
-    whole = sum(sources[s][0] for s in alone)
-    target = {s: sources[s][0] / whole for s in alone}
-    aim = total if total is not None else int(min((n / target[s] for s, n in alone.items()), default=0))
+    holds = sorted({s for p in supply for s in p.split("\n")})
+    whole = sum(sources[s][0] for s in holds)
+    target = {s: sources[s][0] / whole for s in holds}
     levels = {(p, r): n for p, n in supply.items() for r in range(1, max(sources[s][1] for s in p.split("\n")) + 1)}
     uses = {(p, r): [s for s in p.split("\n") if sources[s][1] >= r] for p, r in levels}
-    flow = min_cost_flow(levels, uses, {s: round(aim * x) for s, x in target.items()}, lambda r: float((r - 1) ** 2))
+    aim = total if total is not None else sum(supply.values()) if all_tokens else largest_total(levels, uses, target)
+    flow = min_cost_flow(levels, uses, {s: round(aim * x) for s, x in target.items()})
     # Along the seeded order of a pattern, each repetition begins at 0 and hands its stretch from source to source.
     spans, ends = [], {}
     for (p, r, s), n in sorted(flow.items()):

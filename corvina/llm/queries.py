@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvina.llm.boilerplate import furniture_lines
-from corvina.llm.leakage import leak_report, leaked_items
+from corvina.llm.leakage import leak_report, leaked_items, without_leaks
 from corvina.llm.mixture import mix
 from corvina.llm.names import name_pairs, same_names
 from corvina.llm.neardup import duplicate_links, near_duplicates, row_pairs
@@ -73,6 +73,13 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return leak_report(leaked_items(table(spark, folder, "documents"), items), items)
 
 
+def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """documents without the leaked passages: how many words each lost and keeps."""
+    docs = table(spark, folder, "documents")
+    cleaned = without_leaks(docs, table(spark, folder, "itens_avaliacao"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.length("text").alias("n_chars"))
+
+
 #: Where the public tokenizers lie; a parameter of the operator.
 TOKENS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -81,6 +88,11 @@ def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents"), table(spark, folder, "pesos_mistura"), TOKENS)[0]
 
 
+def p9_mix_all(spark: SparkSession, folder: str) -> DataFrame:
+    """As many tokens as the listed sources hold: short sources repeat their documents up to their caps."""
+    return mix(table(spark, folder, "documents"), table(spark, folder, "pesos_mistura"), TOKENS, all_tokens=True)[0]
+
+
 def p9_selected(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents"), table(spark, folder, "pesos_mistura"), TOKENS)[1]
 
@@ -90,7 +102,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_groups, p4_found, p5_found, p6_found, p7_found, p8_found, p8_report, p9_mix, p9_selected, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_groups, p4_found, p5_found, p6_found, p7_found, p8_found, p8_report, p8_clean, p9_mix, p9_mix_all, p9_selected, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:

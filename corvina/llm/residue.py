@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 from operator import eq
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ SLOT = re.compile(
     | %[A-Z][A-Z_]{2,40}% | <<[\w .-]{1,40}>> | \{[A-Za-zÀ-ú]+(?:[_.][A-Za-zÀ-ú]+)*\} | \[[A-ZÀ-Ú][A-ZÀ-Ú_ .-]{2,50}\] | <[A-ZÀ-Ú_]{3,40}>"""
 )
 MARKS = re.compile(r"[{}<\[\]%#@_$|]{2}|\[[A-ZÀ-Ú]{3}|\{[A-Za-z]|%[A-Z]{3}|<[A-ZÀ-Ú_]{3}")
+PERCENT = re.compile(r"%[A-Z]{3}")
 # Words that speak about a marker instead of leaving it behind.
 SPEAKS = re.compile(r"(?i)\b(?:palavra|express[ãa]o|marcador|etiqueta|trocar|substituir|placeholder)\W*$")
 SPEAKS_AFTER = re.compile(r"(?i)^\W*(?:no|em)\s+lugar\s+d")
@@ -68,16 +70,19 @@ GUARDED = {
     "aqui": re.compile(r"\b(?:digite|escreva|insira|inserir|cole|t[íi]tulo|texto|subt[íi]tulo|resumo|legenda|mat[ée]ria)\b.{0,40}\baqui\b"),
     "depois": re.compile("completar depois"),
 }
-LONG_HINTS = (*(h for h in HINTS if h not in GUARDED), "internal server error")
 SENTENCES = re.compile(r"(?<=[.!?…])\s+")
 QUOTED = re.compile(r"“[^”]*(?:”|$)|«[^»]*(?:»|$)|\"[^\"]*\"")
-SPACED = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~", b" " * 31)
 #: Share of a long line that its notices hold, at least, if it opens with one and if not.
 NOTICE_SHARES = (0.25, 0.5)
 #: A wording repeated in so many records is a template.
 TEMPLATE_ROWS = 3
 
 
+def _may_hold_slot(text: str) -> bool:
+    """Whether a text has the signs of a slot at all."""
+    return "{" in text or "<" in text or "[" in text or any(x in text for x in ("$$", "@@", "##", "__", "|*", "%%")) or ("%" in text and PERCENT.search(text) is not None)
+
+
 def _mention(before: str, after: str) -> bool:
     return bool(SPEAKS.search(before) or SPEAKS_AFTER.match(after))
 
@@ -90,7 +95,7 @@ def _short_kind(line: str) -> str | None:
         return "void"
     low = line.lower()
     parts = low.split()
-    hinted_ = any(h in low for h in HINTS)
+    hinted_ = _hinted(low)
     if "”" not in line and (hinted_ or 2 * len(set(parts)) <= len(parts) or len({x.strip(CLOSING) for x in parts}) == 1) and FILLER.search(line):
         return "filler"
     if hinted_ and "“" not in line and NOTICE.search(line):
@@ -101,21 +106,36 @@ def _short_kind(line: str) -> str | None:
 
 
 def _prose(line: str) -> bool:
-    return bool(ENDED.search(line)) and line.count(" ") >= 9 and not seed_furniture(line)
+    return line.count(" ") >= 9 and bool(ENDED.search(line[-16:])) and not seed_furniture(line)
+
+
+def _automaton() -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for h in (*HINTS, "internal server error"):
+        found.add_word(h, GUARDED.get(h, True))
+    found.make_automaton()
+    return found
+
+
+def _hinted(low: str) -> bool:
+    """Whether a text in lower case may hold filler or a notice by their words: a cheap look that lets none pass."""
+    seen = set()
+    for _, guard in _WORDS_OF_RESIDUE.iter(low):
+        if guard is True:
+            return True
+        if id(guard) not in seen:
+            seen.add(id(guard))
+            if guard.search(low):
+                return True
+    return False
 
 
 def _suspect(text: str) -> bool:
-    """Whether long lines may hold filler or a notice: a cheap look that lets none pass."""
+    """Whether long lines may hold filler or a notice, or say a word twice running."""
     low = text.lower()
-    for h in LONG_HINTS:
-        if h in low:
-            return True
-    for h, guard in GUARDED.items():
-        if h in low and guard.search(low):
-            return True
-    for sign in "“”‘’«»–—…":
-        low = low.replace(sign, " ")
-    said = low.encode("utf-8", "surrogatepass").translate(SPACED).split()
+    if _hinted(low):
+        return True
+    said = words(low)
     return any(map(eq, said, said[1:]))
 
 
@@ -153,6 +173,9 @@ def _long_kinds(line: str) -> tuple[list[str], bool]:
     return kinds, prose
 
 
+_WORDS_OF_RESIDUE = _automaton()
+
+
 class Pieces:
     """Finds what may be residue in one record after the other."""
 
@@ -169,12 +192,13 @@ class Pieces:
     def of(self, title: str | None, body: str | None) -> Iterator[tuple]:
         """(part, kind, wording, context, flag, line): flag is a mention for a slot, else whether the page has prose."""
         prose, said, long = False, [], []
+        slots = _may_hold_slot(title or "") or _may_hold_slot(body or "")
         for n, line in enumerate([title or "", *(body or "").split("\n")]):
             line = line.strip()
             if not line:
                 continue
             part = "body" if n else "title"
-            if MARKS.search(line):
+            if slots and MARKS.search(line):
                 for m in SLOT.finditer(line):
                     before, after = line[max(0, m.start() - 80) : m.start()], line[m.end() : m.end() + 80]
                     left, right = words(before)[-2:], words(after)[:2]

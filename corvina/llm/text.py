@@ -18,7 +18,12 @@ INVISIBLE = dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
 
 def line_key(line: str) -> str:
     """What is left of a line without letter case, spacing, digits and closing punctuation."""
-    return DIGITS.sub("", "".join(line.lower().split())).rstrip(CLOSING)
+    return bare_key("".join(line.lower().split()))
+
+
+def bare_key(joined: str) -> str:
+    """The key of a line that is in lower case and without spacing already."""
+    return DIGITS.sub("", joined).rstrip(CLOSING)
 
 
 def hash64(text: str) -> int:
@@ -31,12 +36,53 @@ def hash64(text: str) -> int:
 LOOSE = re.compile("[\u0300-\u036f" + "".join(map(chr, INVISIBLE)) + "]+")
 
 
+def _folded(text: str) -> str:
+    return LOOSE.sub("", unicodedata.normalize("NFKD", text.lower()))
+
+
+def _latin_table() -> tuple[bytes, bytes, frozenset]:
+    """For single-byte texts: the folded letter or a blank for each sign, the signs that vanish, and those that fold into several."""
+    table, gone, odd = bytearray(b" " * 256), bytearray(), set()
+    for i in range(256):
+        found = _folded(chr(i))
+        if not found:
+            gone.append(i)
+        elif len(found) == 1 and WORDS.match(found) and ord(found) < 256:
+            table[i] = ord(found)
+        elif WORDS.search(found):
+            odd.add(chr(i))
+    return bytes(table), bytes(gone), frozenset(odd)
+
+
+_LATIN, _GONE, _ODD = _latin_table()
+#: Signs beyond single bytes that only part words.
+_PARTING = "“”‘’–—…•"
+
+
 def words(text: str) -> list[str]:
     """Words without letter case, accents, punctuation and spacing."""
-    text = text.lower()
-    if not text.isascii():
-        text = LOOSE.sub("", unicodedata.normalize("NFKD", text))
-    return WORDS.findall(text)
+    plain = text
+    if not plain.isascii():
+        for sign in _PARTING:
+            if sign in plain:
+                plain = plain.replace(sign, " ")
+        for sign in _ODD:
+            if sign in plain:
+                return WORDS.findall(_folded(text))
+    try:
+        return plain.encode("latin-1").translate(_LATIN, _GONE).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return WORDS.findall(_folded(text))
+
+
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """Where in a text each of its :func:`words` stands, by characters of the text itself."""
+    plain, origin = [], []
+    for i, c in enumerate(text):
+        low = c.lower()
+        for d in low if low.isascii() else LOOSE.sub("", unicodedata.normalize("NFKD", low)):
+            plain.append(d), origin.append(i)
+    return [(origin[m.start()], origin[m.end() - 1] + 1) for m in WORDS.finditer("".join(plain))]
 
 
 class _Hashes(dict):
