@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,19 +55,30 @@ def canonical_url(url: Column) -> Column:
 
 def topic_axis(url: Column, text: Column) -> Column:
     """The topic axis of an article: by a segment of its address, else by words, else by last resorts."""
-    low = F.lower(url)
-    content = F.concat(low, F.lit(" "), F.lower(F.coalesce(text, F.lit(""))))
-    score = [(axis, hits(content, words)) for axis, words in X.AXIS_WORDS.items()]
-    best = F.greatest(*[s for _, s in score])
-    by_words = F.lit(None).cast("string")
-    for axis, s in reversed(score):
-        by_words = F.when((s == best) & (s > 0), axis).otherwise(by_words)
-    last = F.lit(X.DEFAULT_AXIS)
-    for axis, words in reversed(X.AXIS_LAST.items()):
-        last = F.when(any_of(content, words), axis).otherwise(last)
-    out = F.coalesce(by_words, last)
+    content = F.concat(F.lower(url), F.lit(" "), F.lower(F.coalesce(text, F.lit(""))))
+    axes = F.array(*map(F.lit, X.AXIS_WORDS))
+
+    def decide(low: Column, content: Column) -> Column:
+        scores = F.array(*[hits(content, words) for words in X.AXIS_WORDS.values()])
+        # The scores are bound once; the first axis with the most words wins.
+        by_words = F.get(F.transform(F.array(scores), lambda s: F.when(F.array_max(s) > 0, F.element_at(axes, F.array_position(s, F.array_max(s)).cast("int")))), F.lit(0))
+        last = F.lit(X.DEFAULT_AXIS)
+        for axis, words in reversed(X.AXIS_LAST.items()):
+            last = F.when(any_of(content, words), axis).otherwise(last)
+        out = F.coalesce(by_words, last)
+        for axis, parts in reversed(X.AXIS_SEGMENTS.items()):
+            out = F.when(any_of(low, parts), axis).otherwise(out)
+        return out
+
+    bound = F.array(F.struct(F.lower(url).alias("low"), content.alias("content")))
+    return F.when(content.isNotNull(), F.get(F.transform(bound, lambda x: decide(x["low"], x["content"])), F.lit(0))).otherwise(X.DEFAULT_AXIS)
+
+
+def axis_by_address(url: Column) -> Column:
+    """The topic axis that a segment of an address names, null where none does."""
+    out = F.lit(None).cast("string")
     for axis, parts in reversed(X.AXIS_SEGMENTS.items()):
-        out = F.when(any_of(low, parts), axis).otherwise(out)
+        out = F.when(any_of(F.lower(url), parts), axis).otherwise(out)
     return out
 
 
@@ -121,6 +134,37 @@ def content_hash(title: Column, body: Column) -> Column:
     return F.sha2(F.concat(part(title), F.lit("|||"), F.lower(F.trim(F.substring(F.coalesce(body, F.lit("")), 1, 300)))), 256)
 
 
+def term_label(term: Column) -> Column:
+    """How a term is shown: by the table of known ones, else with blanks and a capital in front."""
+    known = F.create_map(*[F.lit(x) for pair in X.TERM_LABELS.items() for x in pair])
+    bare = F.regexp_replace(term, "_", " ")
+    return F.coalesce(F.try_element_at(known, term), F.concat(F.upper(F.substring(bare, 1, 1)), F.lower(F.substring(bare, 2, 1000))))
+
+
+@F.pandas_udf("string")
+def _composed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility signs (ligatures, full width, hard blanks) as their plain ones; texts in ASCII don't leave the JVM's filter."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), _composed(text)).otherwise(text)
+
+
+def sentiment_input(title: Column, body: Column) -> Column:
+    """What a sentiment model reads of an article: its title and the first 300 characters of its body."""
+    return F.concat(F.coalesce(title, F.lit("")), F.lit(". "), F.substring(F.coalesce(body, F.lit("")), 1, 300))
+
+
+def article_date(written: Column, url: Column, head: Column, as_of: Column) -> Column:
+    """struct(date, origin): the day of an article by its metadata, its address (day, then month), its meta tags, else ``as_of``."""
+    day = lambda text, pattern: F.concat_ws("-", *[F.regexp_extract(text, pattern, i) for i in (1, 2, 3)]).try_cast("date")
+    month = F.concat(F.concat_ws("-", *[F.regexp_extract(url, r"/(20\d{2})/(\d{2})/", i) for i in (1, 2)]), F.lit("-01")).try_cast("date")
+    tag = F.regexp_extract(F.substring(F.coalesce(head, F.lit("")), 1, 5000), r"(?i)(?:published_time|datePublished)[^0-9]{0,30}(\d{4}-\d{2}-\d{2})", 1).try_cast("date")
+    found = [("metadados", day(written, r"^\s*(\d{4})-(\d{2})-(\d{2})")), ("url_dia", day(url, r"/(20\d{2})/(\d{2})/(\d{2})/")), ("url_mes", month), ("meta", tag), ("coleta", as_of.cast("date"))]
+    return F.coalesce(*[F.when(d.isNotNull(), F.struct(d.alias("date"), F.lit(name).alias("origin"))) for name, d in found])
+
+
 def title_terms(title: Column, extra_stopwords: list[str] | None = None) -> Column:
     """The terms of a title: known phrases as one, at least four letters, no stop words; repeats stay."""
     t = F.lower(title)

@@ -145,10 +145,34 @@ def event_groups(articles: DataFrame, key: str, vector: str, window: str = "wind
     known = articles.where(F.col(vector).isNotNull() & F.col(window).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(window).cast("long").alias("window"), F.col(vector).alias("vector"))
     labelled = known.groupBy("window").applyInPandas(lambda pdf: group(pdf), "key long, window long, label long")
     events = labelled.where("label >= 0").groupBy("window", "label").agg(F.min("key").alias("first"))
-    ids = events.withColumn("event_id", F.row_number().over(Window.orderBy("window", "first")).cast("long"))
+    # Events of a window are numbered inside it, windows by how many events stand before them: one row a window.
+    ranked = events.withColumn("rank_", F.row_number().over(Window.partitionBy("window").orderBy("first")))
+    ahead = events.groupBy("window").agg(F.count("*").alias("n_")).withColumn("ahead_", F.coalesce(F.sum("n_").over(Window.orderBy("window").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ids = ranked.join(ahead.select("window", "ahead_"), "window").withColumn("event_id", (F.col("ahead_") + F.col("rank_")).cast("long"))
     return labelled.join(ids.select("window", "label", "event_id"), ["window", "label"], "left").select("key", "window", F.coalesce("event_id", F.lit(-1)).alias("event_id"))
 
 
+def similar_pairs(articles: DataFrame, key: str, window: str, terms: str, cosine: float) -> DataFrame:
+    """(window, a, b, cosine), a < b: articles of one window whose sets of terms, as unit vectors, have at least this cosine.
+
+    Exact at any size of window: a pair shares one of the rarest terms of
+    either set, of which as many are indexed as ``cosine`` allows to differ;
+    nothing is compared beyond the articles that meet there.  Null windows and
+    empty sets have no pairs.
+    """
+    rows = articles.where(F.col(window).isNotNull() & (F.size(terms) > 0)).select(F.col(key).alias("key"), F.col(window).alias("window"), F.array_sort(F.array_distinct(terms)).alias("terms"))
+    each = rows.select("key", "window", F.explode("terms").alias("term"))
+    rarity = each.groupBy("window", "term").agg(F.count("*").alias("df"))
+    ordered = each.join(rarity, ["window", "term"]).groupBy("key", "window").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "term"))), lambda x: x["term"]).alias("terms"))
+    n = F.size("terms")
+    prefix = n - F.ceil(n * (cosine * cosine) - 1e-9).cast("int") + 1
+    indexed = ordered.select("key", "window", "terms", F.explode(F.slice("terms", F.lit(1), prefix)).alias("term"))
+    side = lambda x: indexed.select("window", "term", F.col("key").alias(x), F.col("terms").alias(f"terms_{x}"))
+    both = F.size(F.array_intersect("terms_a", "terms_b")) / F.sqrt(F.size("terms_a").cast("double") * F.size("terms_b"))
+    met = side("a").join(side("b"), ["window", "term"]).where("a < b").select("window", "a", "b", both.alias("cosine"))
+    return met.where(F.col("cosine") >= cosine - 1e-9).distinct()
+
+
 def event_summaries(articles: DataFrame, event: str = "evento_id", outlet: str = "veiculo_id", date: str = "data", axis: str = "eixo_tematico", polarity: str = "sentimento_polaridade", title: str = "titulo", key: str = "id") -> DataFrame:
     """One row per event: first title, dates, articles, outlets, commonest axis and spread of sentiment.
 

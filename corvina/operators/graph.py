@@ -66,11 +66,33 @@ def communities(edges: DataFrame, rounds: int = 12) -> DataFrame:
     return labels
 
 
-def distances(edges: DataFrame, sources: DataFrame, rounds: int = 20) -> DataFrame:
+def components(links: DataFrame, rounds: int = 200) -> DataFrame:
+    """(node, component): connected components of links (a, b), named by their least node.
+
+    Minimum labels travel along the links and jump to the label of their label,
+    so a chain of n nodes takes about log n rounds; each round is written to
+    the shared folder.  It ends when no label changes; more than ``rounds``
+    rounds, which no links of fewer than 2 ** 100 nodes need, are an error.
+    """
+    both = stash(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = stash(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")))
+    for _ in range(rounds):
+        heard = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
+        nearer = labels.join(heard, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("heard", "component")).alias("component"))
+        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        labels = stash(nearer.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")))
+        if labels.where("component <> old").isEmpty():
+            return labels.select("node", "component")
+        labels = labels.select("node", "component")
+    raise RuntimeError(f"labels still change after {rounds} rounds")
+
+
+def distances(edges: DataFrame, sources: DataFrame, rounds: int = 10_000) -> DataFrame:
     """(source, node, distance, hops): shortest weighted ways from few sources over undirected edges (a, b, distance).
 
     All sources spread at once; only nodes that came nearer in a round are
-    heard in the next.  ``hops`` are the edges of the shortest way.
+    heard in the next.  ``hops`` are the edges of the shortest way.  It ends
+    when no way gets shorter; more than ``rounds`` edges on one are an error.
     """
     both = stash(edges.select("a", "b", "distance").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")))
     known = sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("distance"), F.lit(0).alias("hops"))
@@ -84,6 +106,8 @@ def distances(edges: DataFrame, sources: DataFrame, rounds: int = 20) -> DataFra
             break
         known = stash(known.join(nearer.select("source", "node"), ["source", "node"], "left_anti").unionByName(nearer))
         news = nearer
+    else:
+        raise RuntimeError(f"ways of more than {rounds} edges")
     return known
 
 
@@ -97,7 +121,7 @@ def segregation(ways: DataFrame, kinds: DataFrame) -> DataFrame:
     return m.select(F.round("t", 4).alias("dentro_tradicional"), F.round("d", 4).alias("dentro_digital"), F.round("x", 4).alias("entre_grupos"), F.round(F.col("x") / (0.5 * (F.col("t") + F.col("d")) + 1e-6), 4).alias("razao_segregacao"))
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, nodes: int | None = None, rounds: int = 20) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame, nodes: int | None = None, rounds: int = 10_000) -> DataFrame:
     """(node, betweenness): how many shortest ways from the sources pass a node.
 
     Ways are counted outward along edges that lie on a shortest way and
@@ -119,6 +143,8 @@ def betweenness(edges: DataFrame, sources: DataFrame, nodes: int | None = None,
             last -= 1
             break
         reach = stash(reach.unionByName(step))
+    else:
+        raise RuntimeError(f"ways of more than {rounds} edges")
     depth = stash(reach.groupBy("source", "node").agg(F.max("depth").alias("depth")))
     level = on.join(depth.select("source", F.col("node").alias("b"), "depth"), ["source", "b"])
     paths = depth.where("depth = 0").select("source", "node", F.lit(1.0).alias("ways"))
