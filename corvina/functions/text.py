@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corvina.functions import fixed as X
 from corvina.functions.rounding import rounded
@@ -141,7 +142,7 @@ def term_label(term: Column) -> Column:
     return F.coalesce(F.try_element_at(known, term), F.concat(F.upper(F.substring(bare, 1, 1)), F.lower(F.substring(bare, 2, 1000))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 

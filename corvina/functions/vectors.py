@@ -6,15 +6,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def to_blob(vectors: pd.Series) -> pd.Series:
     """Little-endian float32 bytes of a vector."""
     return vectors.map(lambda v: np.asarray(v, "<f4").tobytes(), na_action="ignore")
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def from_blob(blobs: pd.Series) -> pd.Series:
     """The vector of little-endian float32 bytes; bytes that are no multiple of four give null."""
     return blobs.map(lambda b: np.frombuffer(b, "<f4") if len(b) % 4 == 0 else None, na_action="ignore")

@@ -97,8 +97,8 @@ _SPAN = 30
 
 @query(rf"""WITH r AS (SELECT e.*, row_number() OVER (PARTITION BY materia_id ORDER BY contagem DESC, id) AS r FROM entidades_mencoes e), t AS (SELECT r.id, r.r, r.tipo_entidade, coalesce(m.sentimento_polaridade, 0) AS pol, regexp_extract_all(lower(m.corpo), '{_TOKEN}') AS tl, regexp_extract_all(lower(r.texto_entidade), '{_TOKEN}') AS et FROM r JOIN materias m ON r.materia_id = m.id),
     p AS (SELECT *, instr(' ' || array_to_string(tl, ' ') || ' ', ' ' || array_to_string(et, ' ') || ' ') AS pos FROM t), k AS (SELECT *, CASE WHEN r <= 3 AND tipo_entidade IN ('PER', 'ORG') AND len(et) > 0 AND pos > 0 THEN length(substr(array_to_string(tl, ' '), 1, pos - 1)) - length(replace(substr(array_to_string(tl, ' '), 1, pos - 1), ' ', '')) END AS before FROM p),
-    w AS (SELECT id, pol, CASE WHEN before IS NOT NULL THEN array_to_string(list_slice(tl, greatest(1, before + 1 - {_SPAN}), before + len(et) + {_SPAN}), ' ') END AS txt FROM k), s AS (SELECT id, pol, txt, {_sum_contains('txt', X.POSITIVE)} AS p, {_sum_contains('txt', X.NEGATIVE)} AS n FROM w)
-    SELECT id, round(CASE WHEN txt IS NULL THEN pol ELSE round(round(p / (p + n + 1.0::DOUBLE), 4) - round(n / (p + n + 1.0::DOUBLE), 4), 4) END, 4) AS polaridade FROM s""")
+    w AS (SELECT id, pol, CASE WHEN before IS NOT NULL THEN array_to_string(list_slice(tl, greatest(1, before + 1 - {_SPAN}), before + len(et) + {_SPAN}), ' ') END AS txt FROM k), s AS (SELECT id, pol, txt, {_sum_contains('txt', X.POSITIVE)} AS p, {_sum_contains('txt', X.NEGATIVE)} AS n FROM w),
+    q AS (SELECT id, pol, txt, round(p / (p + n + 1.0::DOUBLE), 4) AS pp, round(n / (p + n + 1.0::DOUBLE), 4) AS nn FROM s), f AS (SELECT id, CASE WHEN txt IS NULL THEN pol ELSE pp - nn END AS v FROM q) SELECT id, round(v, 4) AS polaridade FROM f""")
 def entity_attribution(spark, folder):
     """The polarity of each mention: of the words around its first place in the body, for persons and organisations among an article's first three; else the article's."""
     e = table(spark, folder, "entidades_mencoes")
