@@ -20,7 +20,7 @@ STARTS = re.compile(
     | fotos?\s*: | imagem\s*: | legenda\s*: | cr[ée]ditos?\s*: | v[íi]deo\s*: | com\s+informa[çc][õo]es\s+d[eoa]\s | da\s+reda[çc][ãa]o\b
     | edi[çc][ãa]o\s*: | revis[ãa]o\s*: | colabor(?:ou|aram)\s | reportagem\s+de\s
     | publicado\s+em\b | atualizado\s+em\b | tempo\s+de\s+leitura\b | coment[áa]rios?\b.{0,20}$ | \w+\s+comentou\s*:
-    | publicidade\W*$ | an[úu]ncio\W*$ | assine\b | compartilh[ea]\b | copyright\b | © | todos\s+os\s+direitos | usamos\s+cookies
+    | [\w:][\w: ]{1,23}\s[»>/]\s\S | publicidade\W*$ | an[úu]ncio\W*$ | assine\b | compartilh[ea]\b | copyright\b | © | todos\s+os\s+direitos | usamos\s+cookies
     )"""
 )
 # Parts that no sentence of an article has.

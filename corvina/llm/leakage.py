@@ -10,22 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from corvina.llm.text import word_hash, word_spans, words
+from corvina.llm.text import window_hashes, word_hash, word_spans, words
 from corvina.session import small, stash
 
 #: Windows of the items that every worker holds, some 200 bytes each; more are joined.
 HELD_WINDOWS = 200_000
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each window of ``n`` neighbouring word hashes."""
-    if len(hashes) < n:
-        return np.empty(0, np.uint64)
-    out = np.zeros(len(hashes) - n + 1, np.uint64)
-    for j in range(n):
-        out = out * _BASE + hashes[j : len(hashes) - n + 1 + j]
-    return out ^ (out >> np.uint64(29))
 
 
 def _grams(texts: list[str | None], n: int) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:

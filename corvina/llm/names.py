@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvina.llm.text import words
+from corvina.operators.graph import components
 from corvina.session import hinted, stash
 
 # Short names that are no part of the long one.
@@ -144,6 +145,36 @@ def alike(a: list[str], b: list[str], known: frozenset | set = frozenset()) -> b
     return strong > 0
 
 
+#: Names of a component that one task links by itself; larger ones are linked in rounds over all of them.
+TASK_NAMES = 200
+
+
+def linked_in_rounds(links: DataFrame, cut: float, rounds: int = 10_000) -> DataFrame:
+    """(fid, group): average-linkage groups of ``links`` (a, b, similar), pairs without a link counting 0.
+
+    In each round all pairs of clusters that are nearest to each other merge at
+    once, which average linkage allows without changing its tree; only sums and
+    sizes of pairs of clusters are kept, so no component stands in one task.
+    """
+    edges = stash(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("similar").alias("sum")))
+    sizes = stash(edges.select(F.explode(F.array("a", "b")).alias("c")).distinct().withColumn("n", F.lit(1)))
+    groups = sizes.select(F.col("c").alias("fid"), F.col("c").alias("group"))
+    for _ in range(rounds):
+        n = lambda x: sizes.select(F.col("c").alias(x), F.col("n").alias(f"n_{x}"))
+        rated = edges.join(n("a"), "a").join(n("b"), "b").withColumn("mean", F.col("sum") / (F.col("n_a") * F.col("n_b"))).where(F.col("mean") >= cut)
+        rank = F.struct(F.col("mean"), (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))
+        best = rated.select(F.explode(F.array("a", "b")).alias("c"), "a", "b", rank.alias("rank")).groupBy("c").agg(F.max_by(F.struct("a", "b"), "rank").alias("p"))
+        pairs = stash(best.groupBy("p").agg(F.count("*").alias("k")).where("k = 2").select(F.col("p.a").alias("into"), F.col("p.b").alias("gone")))
+        if pairs.isEmpty():
+            return groups
+        named = lambda x: pairs.select(F.col("gone").alias(x), F.col("into").alias(f"{x}_into"))
+        moved = edges.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("a_into", "a").alias("x"), F.coalesce("b_into", "b").alias("y"), "sum").where("x <> y")
+        edges = stash(moved.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("sum").alias("sum")))
+        sizes = stash(sizes.join(named("c"), "c", "left").groupBy(F.coalesce("c_into", "c").alias("c")).agg(F.sum("n").alias("n")))
+        groups = stash(groups.join(named("group"), "group", "left").select("fid", F.coalesce("group_into", "group").alias("group")))
+    raise RuntimeError(f"clusters still merge after {rounds} rounds")
+
+
 def _linked(similar: np.ndarray, cut: float) -> np.ndarray:
     """Average-linkage groups of a symmetric matrix, down to a mean similarity of ``cut``."""
     n = len(similar)
@@ -162,7 +193,7 @@ def _linked(similar: np.ndarray, cut: float) -> np.ndarray:
     return group
 
 
-def same_names(docs: DataFrame, name: str = "autor", source: str = "veiculo_id", cosine: float = 0.15, linkage: float = 0.45, first_names: int = 4) -> DataFrame:
+def same_names(docs: DataFrame, name: str = "autor", source: str = "veiculo_id", cosine: float = 0.15, linkage: float = 0.45, first_names: int = 4, task_names: int = TASK_NAMES) -> DataFrame:
     """(source, name, group): spellings of one person or agency within a source share a group.
 
     Null and empty names, names of two people and names without letters are
@@ -198,11 +229,12 @@ def same_names(docs: DataFrame, name: str = "autor", source: str = "veiculo_id",
         .groupBy("source", "fid", "gram")
         .agg(F.count("*").alias("tf"))
     )
+    grams = stash(grams)
     rarity = grams.groupBy("gram").agg(F.count("*").alias("df"))
     total = forms.agg(F.count("*").alias("n_forms"))
     weighted = grams.join(hinted(rarity), "gram").crossJoin(F.broadcast(total)).withColumn("w", F.col("tf") * F.log1p(F.col("n_forms") / F.col("df")))
     norms = weighted.groupBy("fid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = weighted.join(norms, "fid").withColumn("w", F.col("w") / F.col("norm"))
+    unit = stash(weighted.join(norms, "fid").withColumn("w", F.col("w") / F.col("norm")))
     rest = Window.partitionBy("fid").orderBy(F.col("df").desc(), F.col("gram").desc()).rowsBetween(Window.unboundedPreceding, 0)
     indexed = unit.withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))).where(F.col("rest") >= cosine).select("source", "gram", "fid")
     other = indexed.select(F.col("source").alias("s_"), F.col("gram").alias("g_"), F.col("fid").alias("fid_b"))
@@ -232,33 +264,18 @@ def same_names(docs: DataFrame, name: str = "autor", source: str = "veiculo_id",
             s[at[a], at[b]] = s[at[b], at[a]] = v
         return pd.DataFrame({"fid": ids, "group": ids[_linked(s, linkage)]})
 
-    groups = near.join(component.withColumnRenamed("node", "fid_a"), "fid_a").groupBy("component").applyInPandas(group, "fid long, group long")
+    placed = near.join(component.withColumnRenamed("node", "fid_a"), "fid_a")
+    large = stash(component.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > task_names).select("component"))
+    groups = placed.join(hinted(large), "component", "left_anti").groupBy("component").applyInPandas(group, "fid long, group long")
+    if not large.isEmpty():
+        rest = placed.join(hinted(large), "component", "left_semi").select(F.col("fid_a").alias("a"), F.col("fid_b").alias("b"), "similar")
+        groups = groups.unionByName(linked_in_rounds(rest, linkage))
     return (
         names.withColumn("fid", F.xxhash64("source", "parts")).join(groups, "fid", "left")
         .select("source", "name", F.coalesce("group", "fid").alias("group"))
     )
 
 
-def components(links: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, component): connected components of links (a, b), named by their least node.
-
-    Minimum labels travel along the links and jump to the label of their label,
-    so a chain of n nodes takes about log n rounds; each round is written to
-    the shared folder.
-    """
-    both = stash(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stash(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")))
-    for _ in range(rounds):
-        heard = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
-        nearer = labels.join(heard, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("heard", "component")).alias("component"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        labels = stash(nearer.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")))
-        if labels.where("component <> old").isEmpty():
-            break
-        labels = labels.select("node", "component")
-    return labels.select("node", "component")
-
-
 def name_pairs(groups: DataFrame) -> DataFrame:
     """(source, name_a, name_b): the spellings of each group in pairs, name_a before name_b by code point."""
     other = groups.select(F.col("source").alias("s_"), F.col("group").alias("g_"), F.col("name").alias("name_b"))

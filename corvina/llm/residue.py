@@ -1,26 +1,29 @@
 """Template residue, filler and error pages among records.
 
-Each record is reduced to the few pieces that may be residue.  Those pieces are
-aligned by the words around them: where records of one template always hold the
-same marker it belongs to what they report, where the marker varies, or stands
-alone, a slot was left unfilled.  Whole lines of one wording that replace the
-content of several records are error or filler templates, and then count
-wherever they stand.
+Each record is reduced to the few pieces that may be residue.  Markers are
+aligned with all other records by the words around them: where records of the
+same wording hold other words, the place is a slot of their template and was
+left unfilled, whatever the marker looks like; where they all hold the same
+marker it belongs to what they report.  Short whole pages of one wording that
+stand under many titles at several sources are error templates, as are lines
+that replace the content of several records.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 from operator import eq
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvina.llm.furniture import ENDED, seed_furniture
-from corvina.llm.text import CLOSING, line_key, words
+from corvina.llm.text import CLOSING, line_key, window_hashes, word_hash, words
 from corvina.session import hinted, stash
 
 # Ways to write the slot of a template.
@@ -29,8 +32,9 @@ SLOT = re.compile(
     | %%[\w .-]{1,40}%% | \#\#[\w .-]{1,40}\#\# | @@[\w .-]{1,40}@@ | __[\w .-]{1,40}?__ | \$\$[\w .-]{1,40}\$\$ | \|\*[^*|]{1,40}\*\|
     | %[A-Z][A-Z_]{2,40}% | <<[\w .-]{1,40}>> | \{[A-Za-zÀ-ú]+(?:[_.][A-Za-zÀ-ú]+)*\} | \[[A-ZÀ-Ú][A-ZÀ-Ú_ .-]{2,50}\] | <[A-ZÀ-Ú_]{3,40}>"""
 )
-MARKS = re.compile(r"[{}<\[\]%#@_$|]{2}|\[[A-ZÀ-Ú]{3}|\{[A-Za-z]|%[A-Z]{3}|<[A-ZÀ-Ú_]{3}")
 PERCENT = re.compile(r"%[A-Z]{3}")
+# What may be a slot, or a blank or default in one, if other records fill it.
+LOOSE_SLOT = re.compile(r"\{\w{0,60}\}|%[sd](?!\w)|\[[a-zà-ú][\wà-ú .-]*\]|<[a-zà-ú]\w*_\w*>|_{3,}|\?{4,}")
 # Words that speak about a marker instead of leaving it behind.
 SPEAKS = re.compile(r"(?i)\b(?:palavra|express[ãa]o|marcador|etiqueta|trocar|substituir|placeholder)\W*$")
 SPEAKS_AFTER = re.compile(r"(?i)^\W*(?:no|em)\s+lugar\s+d")
@@ -38,7 +42,7 @@ SPEAKS_AFTER = re.compile(r"(?i)^\W*(?:no|em)\s+lugar\s+d")
 VOID = re.compile(r"(?i)^\W*(?:undefined|null|none|nan|n/a|object object|untitled|sem t[íi]tulo|t[íi]tulo|erro|error|p[áa]gina n[ãa]o encontrada|not found)\W*$")
 # Filler.
 FILLER = re.compile(
-    r"(?i)\b(?:lorem|lipsum)\b|\bdolor sit\b|\bdolam sipet\b|\bbla bla\b|(?<!x)x{4,}\s+x{3,}|\b(\w{2,12})(?:\W+\1\b){2,}|teste de publica[çc][ãa]o|favor ignorar|completar depois"
+    r"(?i)\b(?:lorem|lipsum)\b|\bdolor sit\b|\bbla bla\b|(?<!x)x{4,}\s+x{3,}|\b(\w{2,12})(?:\W+\1\b){2,}|teste de publica[çc][ãa]o|favor ignorar|completar depois"
     r"|\b(?:digite|escreva|insira|inserir|cole)\b.{0,40}\baqui\b|\b(?:t[íi]tulo|texto|subt[íi]tulo|resumo|legenda) (?:da mat[ée]ria )?aqui\b|m[áa]x\. \d+ toques"
 )
 # Error messages and notices of servers, scripts and access.
@@ -76,11 +80,17 @@ QUOTED = re.compile(r"“[^”]*(?:”|$)|«[^»]*(?:»|$)|\"[^\"]*\"")
 NOTICE_SHARES = (0.25, 0.5)
 #: A wording repeated in so many records is a template.
 TEMPLATE_ROWS = 3
+#: Other fillings that show a place to be a slot, and words of one filling at most.
+FILLINGS, FILLING_WORDS = 2, 4
+#: Places that every worker looks for at a time, 8 bytes each; more are looked for in blocks.
+HELD_PLACES = 1_000_000
+#: Words and lines of a whole page that may be a template, and the share of its rows that differ in title.
+PAGE_WORDS, PAGE_LINES, PAGE_TITLES = 60, 3, 0.8
 
 
 def _may_hold_slot(text: str) -> bool:
     """Whether a text has the signs of a slot at all."""
-    return "{" in text or "<" in text or "[" in text or any(x in text for x in ("$$", "@@", "##", "__", "|*", "%%")) or ("%" in text and PERCENT.search(text) is not None)
+    return "{" in text or "<" in text or "[" in text or any(x in text for x in ("$$", "@@", "##", "__", "|*", "%%", "%s", "%d", "????")) or ("%" in text and PERCENT.search(text) is not None)
 
 
 def _mention(before: str, after: str) -> bool:
@@ -101,7 +111,9 @@ def _short_kind(line: str) -> str | None:
     if hinted_ and "“" not in line and NOTICE.search(line):
         return "notice"
     if len(parts) >= 5 and FUNCTION.isdisjoint(parts) and ENDED.search(line) and FUNCTION.isdisjoint(words(line)) and not seed_furniture(line):
-        return "wordless"
+        said = SENTENCES.split(line)
+        # The same sentence again and again, without a word of running text.
+        return "filler" if len(said) > 1 and len({line_key(x) for x in said}) == 1 else "wordless"
     return None
 
 
@@ -176,6 +188,54 @@ def _long_kinds(line: str) -> tuple[list[str], bool]:
 _WORDS_OF_RESIDUE = _automaton()
 
 
+def place_hashes(hashes: np.ndarray, gap: int) -> np.ndarray:
+    """Hash of the two words before and the two behind each stretch of ``gap`` words."""
+    n = len(hashes) - gap - 3
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    for j in (0, 1, gap + 2, gap + 3):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[j : n + j]
+    return out ^ (out >> np.uint64(29))
+
+
+def _hashes(said: list[str]) -> np.ndarray:
+    return np.fromiter(map(word_hash, said), np.uint64, len(said))
+
+
+def fillings(docs: DataFrame, places: DataFrame, held: int = HELD_PLACES) -> DataFrame:
+    """(place, filling): what stands in all of ``docs`` (title, body) at the ``places`` (place), up to ``FILLING_WORDS`` words."""
+    spark = docs.sparkSession
+    blocks = -(-places.count() // held)
+
+    def look(batches: Iterator[pd.DataFrame], known: np.ndarray) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            split = [words(t) if t else [] for pair in zip(batch["title"], batch["body"], strict=True) for t in pair]
+            ends = np.cumsum([len(w) for w in split])
+            flat = _hashes(list(chain.from_iterable(split)))
+            of = np.repeat(np.arange(len(split)), [len(w) for w in split])
+            out = []
+            for gap in range(1, FILLING_WORDS + 1):
+                h = place_hashes(flat, gap)
+                if not len(h) or not len(known):
+                    continue
+                at = np.searchsorted(known, h)
+                hit = np.flatnonzero((known[np.minimum(at, len(known) - 1)] == h) & (of[: len(h)] == of[gap + 3 : gap + 3 + len(h)]))
+                if len(hit):
+                    inner = window_hashes(flat, gap)[hit + 2]
+                    out.append(pd.DataFrame({"place": h[hit].view(np.int64), "filling": inner.view(np.int64)}))
+            if out:
+                yield pd.concat(out).drop_duplicates()
+
+    found = None
+    for k in range(blocks):
+        part = places.where(F.pmod(F.xxhash64("place"), F.lit(blocks)) == k).select("place").toPandas()["place"].to_numpy(np.int64)
+        sent = spark.sparkContext.broadcast(np.sort(part.view(np.uint64)))
+        one = docs.mapInPandas(lambda batches, sent=sent: look(batches, sent.value), "place long, filling long")
+        found = one if found is None else found.unionByName(one)
+    return (found if found is not None else spark.createDataFrame([], "place long, filling long")).distinct()
+
+
 class Pieces:
     """Finds what may be residue in one record after the other."""
 
@@ -190,7 +250,7 @@ class Pieces:
         return found
 
     def of(self, title: str | None, body: str | None) -> Iterator[tuple]:
-        """(part, kind, wording, context, flag, line): flag is a mention for a slot, else whether the page has prose."""
+        """(part, kind, wording, context, flag, line, place, filling): flag is a mention for a slot, else whether the page has prose."""
         prose, said, long = False, [], []
         slots = _may_hold_slot(title or "") or _may_hold_slot(body or "")
         for n, line in enumerate([title or "", *(body or "").split("\n")]):
@@ -198,12 +258,21 @@ class Pieces:
             if not line:
                 continue
             part = "body" if n else "title"
-            if slots and MARKS.search(line):
-                for m in SLOT.finditer(line):
-                    before, after = line[max(0, m.start() - 80) : m.start()], line[m.end() : m.end() + 80]
-                    left, right = words(before)[-2:], words(after)[:2]
-                    context = " ".join(left) + " _ " + " ".join(right) if len(left) + len(right) > 2 else None
-                    yield part, "slot", m.group(0), context, _mention(before, after), line_key(line)
+            if slots:
+                taken = []
+                for kind, shape in (("slot", SLOT), ("loose", LOOSE_SLOT)):
+                    for m in shape.finditer(line):
+                        if kind == "loose" and any(a < m.end() and m.start() < b for a, b in taken):
+                            continue
+                        taken.append(m.span())
+                        before, after = line[: m.start()], line[m.end() :]
+                        left, right, own = words(before)[-2:], words(after)[:2], words(m.group(0))
+                        context = " ".join(left) + " _ " + " ".join(right) if len(left) + len(right) > 2 else None
+                        place = filling = None
+                        if len(left) == len(right) == 2:
+                            place = int(place_hashes(_hashes([*left, *(own or ["_"]), *right]), max(len(own), 1)).view(np.int64)[0])
+                            filling = int(window_hashes(_hashes(own), len(own)).view(np.int64)[0]) if own else 0
+                        yield part, kind, m.group(0), context, _mention(before, after), line_key(line), place, filling
             if len(line) > WHOLE_CHARS:
                 long.append((part, line))
             elif kind := self.short(line):
@@ -213,22 +282,31 @@ class Pieces:
         suspect = bool(long) and _suspect("\n".join([line for _, line in long]))
         for part, line in long:
             kinds, more = _long_kinds(line) if suspect else ([], False)
-            if not kinds and " de " not in line and self.short(line) == "wordless":
-                kinds = ["wordless"]
+            if not kinds and " de " not in line and (kind := _short_kind(line)) in ("wordless", "filler"):
+                kinds = [kind]
             said += [(part, kind, line_key(line) or line) for kind in kinds]
             if part == "body" and not kinds and not prose:
                 prose = more or _prose(line) or any(map(_prose, SENTENCES.split(line)))
             elif part == "body":
                 prose |= more
         for part, kind, wording in said:
-            yield part, kind, wording, None, prose, wording
+            yield part, kind, wording, None, prose, wording, None, None
+        if body and len(body) < 20 * PAGE_WORDS:
+            own = [line.strip() for line in body.split("\n") if line.strip() and not seed_furniture(line.strip())]
+            if 0 < len(own) <= PAGE_LINES and sum(line.count(" ") + 1 for line in own) <= PAGE_WORDS and (wording := line_key(" ".join(own))):
+                yield "body", "page", wording, None, prose, line_key(title or ""), None, None
 
 
-def residue_rows(docs: DataFrame, key: str = "id", title: str = "titulo", body: str = "corpo", source: str = "veiculo_id") -> DataFrame:
+def residue_rows(docs: DataFrame, key: str = "id", title: str = "titulo", body: str = "corpo", source: str = "veiculo_id", align: bool = True) -> DataFrame:
     """(key): records with an unfilled slot, filler, an error message or a notice in place of content.
 
-    A slot counts unless its sentence speaks about the marker, or at least
-    three different lines hold the very same marker between the same words.
+    A marker counts unless its sentence speaks about it, or at least three
+    different lines hold the very same marker between the same words and no
+    record anything else.  What only may be a marker (a blank, a word in
+    brackets) counts where at least ``FILLINGS`` other fillings stand at its
+    place in other records (``align`` turns that off).  A short whole page
+    counts as a template where at least three rows of two sources have it, most
+    of them under titles of their own.
     Void titles count where they stand alone on a line, filler there or as
     a sentence of a long line; lines of every length are searched.  A notice
     counts if its page has no other prose or if its wording replaces whole
@@ -244,22 +322,32 @@ def residue_rows(docs: DataFrame, key: str = "id", title: str = "titulo", body:
                 for k, src, t, b in zip(batch["key"], batch["source"], batch["title"], batch["body"], strict=True)
                 for piece in found.of(t, b)
             ]
-            yield pd.DataFrame(out, columns=["key", "source", "part", "kind", "wording", "context", "flag", "line"])
-
-    found = stash(
-        docs.select(F.col(key).cast("long").alias("key"), F.col(source).cast("string").alias("source"), F.col(title).alias("title"), F.col(body).alias("body"))
-        .where(F.col("title").isNotNull() | F.col("body").isNotNull())
-        .mapInPandas(scan, "key long, source string, part string, kind string, wording string, context string, flag boolean, line string")
-    )
-    slots = found.where("kind = 'slot'")
-    literal = (
-        slots.where(F.col("context").isNotNull())
-        .groupBy("context")
-        .agg(F.countDistinct("line").alias("lines"), F.countDistinct("wording").alias("markers"))
-        .where((F.col("lines") >= TEMPLATE_ROWS) & (F.col("markers") == 1))
-        .select("context")
+            yield pd.DataFrame(out, columns=["key", "source", "part", "kind", "wording", "context", "flag", "line", "place", "filling"], dtype=object).astype({"place": "Int64", "filling": "Int64"})
+
+    read = docs.select(F.col(key).cast("long").alias("key"), F.col(source).cast("string").alias("source"), F.col(title).alias("title"), F.col(body).alias("body")).where(F.col("title").isNotNull() | F.col("body").isNotNull())
+    found = stash(read.mapInPandas(scan, "key long, source string, part string, kind string, wording string, context string, flag boolean, line string, place long, filling long"))
+    marks = found.where("kind in ('slot', 'loose')")
+    alike = marks.where("kind = 'slot' and context is not null").groupBy("context").agg(F.countDistinct("line").alias("lines"), F.countDistinct("wording").alias("markers"))
+    reported = alike.where((F.col("lines") >= TEMPLATE_ROWS) & (F.col("markers") == 1)).select("context")
+    # Other records are asked about what they decide: whether it is a slot at all, and whether a marker is what is reported.
+    asked = marks.where("place is not null and not flag")
+    places = asked.where("kind = 'loose'").select("place").union(asked.join(hinted(reported), "context", "left_semi").select("place")).distinct()
+    stands = stash(fillings(read.select("title", "body"), places if align else places.limit(0)))
+    others = marks.where("place is not null").select("place", "filling").distinct().join(stands.withColumnRenamed("filling", "other"), "place").where("other <> filling")
+    # A marker's own words are no filling of its place.
+    own = marks.where("place is not null").select("place", F.col("filling").alias("other")).distinct()
+    filled = stash(others.select("place", "other").distinct().join(own, ["place", "other"], "left_anti").groupBy("place").agg(F.count("*").alias("fills")))
+    marked = marks.join(hinted(filled), "place", "left").withColumn("fills", F.coalesce("fills", F.lit(0)))
+    slots = marked.where("kind = 'slot' and context is not null").join(hinted(reported), "context", "left_semi")
+    literal = slots.groupBy("context").agg(F.max("fills").alias("most")).where("most = 0").select("context")
+    unfilled = marked.where(~F.col("flag") & ((F.col("kind") == "slot") | (F.col("fills") >= FILLINGS))).join(hinted(literal), "context", "left_anti")
+    pages = (
+        found.where("kind = 'page'")
+        .groupBy("wording")
+        .agg(F.countDistinct("key").alias("rows"), F.countDistinct("source").alias("sources"), F.countDistinct("line").alias("titles"))
+        .where((F.col("rows") >= TEMPLATE_ROWS) & (F.col("sources") > 1) & (F.col("titles") >= PAGE_TITLES * F.col("rows")))
     )
-    unfilled = slots.where(~F.col("flag")).join(hinted(literal), "context", "left_anti")
+    templated = found.where("kind = 'page'").join(hinted(pages.select("wording")), "wording", "left_semi")
     whole = found.where("kind in ('void', 'filler')")
     # flag: the page has prose of its own
     notices = found.where("kind in ('notice', 'wordless')")
@@ -271,4 +359,4 @@ def residue_rows(docs: DataFrame, key: str = "id", title: str = "titulo", body:
     )
     alone = notices.where((F.col("kind") == "notice") & (~F.col("flag") | (F.col("part") == "title")))
     repeated = notices.join(hinted(templates), ["kind", "wording"], "left_semi")
-    return unfilled.select("key").union(whole.select("key")).union(alone.select("key")).union(repeated.select("key")).distinct()
+    return unfilled.select("key").union(templated.select("key")).union(whole.select("key")).union(alone.select("key")).union(repeated.select("key")).distinct()

@@ -6,6 +6,7 @@ import re
 import unicodedata
 from zlib import crc32
 
+import numpy as np
 import xxhash
 
 DIGITS = re.compile(r"\d+")
@@ -97,3 +98,14 @@ class _Hashes(dict):
 
 _HASHES = _Hashes()
 word_hash = _HASHES.__getitem__
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each window of ``n`` neighbouring word hashes."""
+    if len(hashes) < n:
+        return np.empty(0, np.uint64)
+    out = np.zeros(len(hashes) - n + 1, np.uint64)
+    for j in range(n):
+        out = out * _BASE + hashes[j : len(hashes) - n + 1 + j]
+    return out ^ (out >> np.uint64(29))

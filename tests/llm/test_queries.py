@@ -29,6 +29,11 @@ def test_columns_and_distinct_rows(spark, name):
     assert df.columns == COLUMNS[name] and len(set(rows)) == len(rows) > 0
 
 
+def test_mixture_uses_repetition(spark):
+    report = queries()["p9_mix_all"](spark, DATA).collect()
+    assert len(report) == 20 and max(r.most_uses for r in report) > 1
+
+
 def test_mixture_shares(spark):
     report = queries()["p9_mix"](spark, DATA).collect()
     assert len(report) == 20 and sum(r.share for r in report) == pytest.approx(1, abs=1e-3)

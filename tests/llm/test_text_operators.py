@@ -51,16 +51,39 @@ def test_repeated_lines_match_brute_force(spark):
     assert len(left) == 8 - sum(w[0] == "8" for w in want)
 
 
+LINES = "rid long, key long, source long, linhas array<int>, lines array<long>"
+
+
 def test_blocks_are_the_repeated_stretches(spark):
-    marked = spark.createDataFrame([(i, 1, [1], [1], [[1, 2, 3]]) for i in range(6)] + [(9, 1, [1], [1], [[2, 3, 4]])], "key long, source long, linhas array<int>, lines array<long>, runs array<array<long>>")
-    got = {tuple(r.block): r.n_docs for r in repeated.repeated_blocks(marked, spark.createDataFrame([(1, 5)], "source long, least long")).collect()}
+    docs = [(i, i, 1, [1, 2, 3], [1, 2, 3]) for i in range(6)] + [(9, 9, 1, [1, 2, 3, 4, 5], [2, 3, 4, 77, 3]), (10, 10, None, [1], [1])]
+    floor = spark.createDataFrame([(1, 5), (None, 2)], "source long, least long")
+    got = {tuple(r.block): r.n_docs for r in repeated.repeated_blocks(repeated.suffix_array(spark.createDataFrame(docs, LINES), floor)).collect()}
     assert got == {(1, 2, 3): 6, (2, 3): 7, (3,): 7}
 
 
-def test_repeated_lines_without_broadcast(spark, monkeypatch):
-    rows = [(i, 1, "t", f"Menu\ntexto {chr(97 + i)}") for i in range(8)]
-    monkeypatch.setattr(repeated, "BROADCAST_ROWS", 0)
-    assert sorted(r.key for r in repeated.repeated_lines(frame(spark, rows)).collect()) == list(range(8))
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_blocks_match_brute_force_across_ranges(spark, partitions):
+    rng = random.Random(14)
+    docs = [(i, i, i % 2, list(range(1, 9)), [rng.choice([1, 2, 3, 4, 100 + i]) for _ in range(8)]) for i in range(60)]
+    floor = spark.createDataFrame([(0, 4), (1, 9)], "source long, least long")
+    holds = Counter()
+    for _, i, src, _, ls in docs:
+        holds.update({(src, tuple(ls[a:b])) for a in range(8) for b in range(a + 1, 9) if max(ls[a:b]) < 100})
+    enough = {k: n for k, n in holds.items() if n >= (4, 9)[k[0]]}
+    want = {k: n for k, n in enough.items() if not any(enough.get((k[0], (*k[1], x))) == n for x in (1, 2, 3, 4))}
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {(r.source, tuple(r.block)): r.n_docs for r in repeated.repeated_blocks(repeated.suffix_array(spark.createDataFrame(docs, LINES), floor)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got == want
+
+
+def test_prefix_counts_decide_which_lines_are_repeated(spark):
+    # Without the counts of the common prefixes every line that two documents share would stay.
+    rows = [(i, 1, "t", f"Menu\ntexto {chr(97 + i // 2)}") for i in range(8)]
+    assert sorted((r.key, r.linha) for r in repeated.repeated_lines(frame(spark, rows)).collect()) == [(i, 1) for i in range(8)]
 
 
 def test_residue(spark):
@@ -73,6 +96,29 @@ def test_residue(spark):
     assert got == [*range(len(bad)), 50]
 
 
+def test_slots_are_induced_by_alignment(spark):
+    rng = random.Random(17)
+    fill = lambda x: f"O prefeito {x} disse ontem que a obra fica pronta. " + body(rng, 1)[0]
+    rows = [(i, 1 + i % 3, f"Título {word(rng)}", fill(n)) for i, n in enumerate(NAMES)]
+    rows += [(100, 1, "Um título", fill("[nome]")), (101, 1, "Um título", fill("____")), (102, 1, "Um título", "A ata diz que o termo [sic] consta do livro antigo. " + body(rng, 1)[0])]
+    got = lambda align: sorted(r.key for r in residue.residue_rows(frame(spark, rows), align=align).collect())
+    assert got(True) == [100, 101] and got(False) == []
+
+
+def test_places_are_looked_for_in_blocks(spark):
+    docs = spark.createDataFrame([("um dois tres quatro cinco", None), (None, "Um, dois seis sete quatro cinco")], "title string, body string")
+    places = spark.createDataFrame([(int(residue.place_hashes(residue._hashes(w.split()), g).view(np.int64)[0]),) for w, g in (("um dois x quatro cinco", 1), ("um dois x y quatro cinco", 2), ("a b c d e", 1))], "place long")
+    assert residue.fillings(docs, places, 1).count() == residue.fillings(docs, places).count() == 2
+
+
+def test_whole_pages_repeated_under_many_titles(spark):
+    rng = random.Random(18)
+    blank = "O trem das nove não veio e ninguém soube dizer quando vem."
+    rows = [(i, 1 + i % 3, f"Título {word(rng)} {word(rng)}", blank) for i in range(6)] + [(50 + i, 1 + i % 3, "O mesmo título", "A ponte nova abriu ontem e a festa durou a noite toda.") for i in range(6)]
+    rows += [(90 + i, 1, f"Título {word(rng)}", "\n".join(body(rng, 3))) for i in range(5)]
+    assert sorted(r.key for r in residue.residue_rows(frame(spark, rows)).collect()) == list(range(6))
+
+
 LOREM = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur."
 DENIED = "Acesso negado. Seu endereço não tem permissão para abrir esta página do portal. Para continuar é preciso habilitar os cookies e fazer nova tentativa. Se você acredita que há um engano, escreva ao responsável pelo portal e informe o número do atendimento que aparece abaixo."
 
@@ -123,6 +169,30 @@ def test_furniture_held_out(spark):
     assert hit / sum(map(len, truth.values())) > 0.95 and hit / sum(map(len, got.values())) > 0.95
 
 
+def test_furniture_in_words_never_seen(spark):
+    """The trees alone decide, from place and repetition: half of the pages' own lines are in no word list."""
+    rng, rows, truth = random.Random(20), [], {}
+    for i in range(150):
+        lines = [("Zum Zam Zim Zem", 1), ("Painel de bordo da casa", 1)] + [(x, 0) for x in body(rng, 4)] + [("Fala com a gente no balcão", 1), (f"Ronda {rng.randrange(99)} da casa", 1), ("Casa das letras do porto velho", 1)]
+        rows.append((i, 1, "Título", "\n".join(x for x, _ in lines)))
+        truth[i] = {k for k, (_, f) in enumerate(lines, 1) if f}
+    got: dict[int, set] = {}
+    for r in boilerplate.furniture_lines(frame(spark, rows), sample_docs=60, trees=5).collect():
+        got.setdefault(r.key, set()).add(r.linha)
+    hit = sum(len(got.get(i, set()) & t) for i, t in truth.items())
+    assert hit / sum(map(len, truth.values())) > 0.95 and hit / sum(map(len, got.values())) > 0.95
+
+
+def test_shares_joined_when_too_many_to_hold(spark):
+    rows, _ = pages(random.Random(21), 40)
+    df = frame(spark, rows)
+    held, joined = boilerplate.known_shares(df, "veiculo_id", "corpo"), boilerplate.known_shares(df, "veiculo_id", "corpo", held=0)
+    picked = df.select(F.col("id").alias("key"), F.col("veiculo_id").alias("source"), F.col("titulo").alias("title"), F.col("corpo").alias("body"))
+    a = boilerplate.Pages(held).lines(held.beside(picked).toPandas().sort_values("key"))[2]
+    b = boilerplate.Pages(joined.held()).lines(joined.beside(picked).toPandas().sort_values("key"))[2]
+    assert joined.joined is not None and np.allclose(a, b) and (a[:, 0] > np.log(0.5)).any()
+
+
 def test_decoding_keeps_blocks_whole():
     doc, block = np.zeros(4, int), np.array([0, 0, 0, 1])
     assert boilerplate.decode(doc, block, np.array([3.0, 2.0, -0.5, -1.0])).tolist() == [True, True, True, False]
@@ -136,8 +206,32 @@ def test_truncation(spark):
     cut = {r[0] for r in rows if not r[3].endswith(".")}
     got = {r.key for r in truncation.truncated(frame(spark, rows)).where("cut").collect()}
     assert len(got & cut) / len(cut) > 0.9 and len(got - cut) <= 2
-    report = {r.source: r.n_cut for r in truncation.truncation_report(truncation.truncated(frame(spark, rows))).collect()}
-    assert report[2] > report[1]
+    report = {r.source: r for r in truncation.truncation_report(frame(spark, rows + EMPTY), truncation.truncated(frame(spark, rows))).collect()}
+    assert report[2].n_cut > report[1].n_cut and report[1].n_rows == sum(r[1] == 1 for r in rows + EMPTY)
+
+
+def test_censoring_decides_where_words_may_end(spark):
+    rng = random.Random(13)
+    ends = ["o texto cita saneamento", "o texto cita transporte", "o texto cita moradia", "o texto cita energia"]
+    rows = []
+    for i in range(400):
+        b = "\n".join(body(rng, rng.randrange(3, 7)))
+        # Half of the second source is cut at one length, at words that end sentences elsewhere too; other texts of it lack a full stop at any length.
+        end = ends[i % 3]
+        text_ = (b + " E " * 900)[: 896 - len(end)] + " " + end if i % 4 == 1 else b + " Por fim, " + end + ("" if i % 8 == 3 else ".")
+        rows.append((i, 1 + i % 2, "Um título qualquer", text_))
+    with_fits, without = ({r.key for r in truncation.truncated(frame(spark, rows), fits=f).where("cut").collect()} for f in (True, False))
+    cut = {r[0] for r in rows if r[0] % 4 == 1}
+    assert len(with_fits & cut) >= 95 > 5 >= len(without) and len(with_fits - cut) <= 5
+
+
+def test_truncation_marks(spark):
+    rng = random.Random(16)
+    rows = [(i, 1, "t", "\n".join(body(rng, 4))) for i in range(60)]
+    page = rows[0][3][: rows[0][3].rindex("entre")].rstrip()
+    rows += [(100, 1, "t", page + " [...]"), (101, 1, "t", page + " [+]"), (102, 1, "t", page + "…"), (103, 1, "t", rows[1][3] + "\n“Ninguém sabe o que vem depois...”"), (104, 1, "t", rows[2][3] + " [...]")]
+    got = {r.key for r in truncation.truncated(frame(spark, rows)).where("cut").collect()}
+    assert got == {100, 101, 102}
 
 
 def test_censored_fit_recovers_the_whole():
@@ -177,19 +271,52 @@ def test_near_duplicates_match_brute_force(spark, shard):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
-@pytest.mark.parametrize("n, pairs", [(600, 400), (60, 400), (20, 400)])
-def test_pairs_little_above_half_are_found(spark, n, pairs):
-    rng, sets = np.random.default_rng(n), []
+def drawn_sets(rng, n, pairs, similarity):
+    sets = []
     for _ in range(pairs):
-        both = int(np.ceil(2 * n * 0.54 / 1.54))
+        both = int(np.ceil(2 * n * similarity / (1 + similarity)))
         x = rng.integers(0, 2**32, size=2 * n - both, dtype=np.uint64)
         sets += [np.unique(x[:n]), np.unique(np.r_[x[:both], x[n:]])]
-    minima = np.stack([neardup.sketch(h) for h in sets])
-    rows = pd.DataFrame({"rid": range(len(sets)), "key": range(len(sets)), "shingles": [h.astype(np.uint32).view(np.int32).tolist() for h in sets], "print": neardup.fingerprints(minima).tolist(), "bands": neardup.bands(minima).tolist()})
-    found = spark.createDataFrame(rows, "rid long, key long, shingles array<int>, print array<long>, bands array<long>")
-    links = neardup.near_links(found, 0.48)[1]
-    got = {(r.a, r.b) for r in links.collect()}
-    assert got <= {(2 * i, 2 * i + 1) for i in range(pairs)} and len(got) >= 0.995 * pairs
+    return sets
+
+
+@pytest.mark.parametrize("similarity, least", [(0.5, 0.95), (0.54, 0.98), (0.6, 0.99), (0.8, 0.999)])
+@pytest.mark.parametrize("n", [600, 150])
+def test_recall_by_similarity(spark, n, similarity, least):
+    pairs = 600
+    sets = drawn_sets(np.random.default_rng(n), n, pairs, similarity)
+    minima = neardup.sketches(sets)
+    assert np.array_equal(minima[:3], neardup.sketches(sets[:3]))
+    rows = pd.DataFrame({"rid": range(len(sets)), "key": range(len(sets)), "n": [len(h) for h in sets], "shingles": [h.astype(np.uint32).view(np.int32).tolist() for h in sets], "print": neardup.fingerprints(minima).tolist(), "bands": neardup.bands(minima).tolist()})
+    found = spark.createDataFrame(rows, "rid long, key long, n int, shingles array<int>, print array<long>, bands array<long>")
+    got = {(r.a, r.b) for r in neardup.near_links(found, 0.48)[1].collect()}
+    # Three deviations of the draw below the stated recall.
+    assert got <= {(2 * i, 2 * i + 1) for i in range(pairs)} and len(got) >= (least - 3 * (least * (1 - least) / pairs) ** 0.5) * pairs
+
+
+def test_hot_shards_are_split_without_loss(spark):
+    sets = drawn_sets(np.random.default_rng(3), 200, 150, 0.6)
+    minima = neardup.sketches(sets)
+    minima[:, ::48] = 7  # one band that all share
+    rows = pd.DataFrame({"rid": range(len(sets)), "key": range(len(sets)), "n": [len(h) for h in sets], "shingles": [h.astype(np.uint32).view(np.int32).tolist() for h in sets], "print": neardup.fingerprints(minima).tolist(), "bands": neardup.bands(minima)[:, :1].tolist()})
+    found = spark.createDataFrame(rows, "rid long, key long, n int, shingles array<int>, print array<long>, bands array<long>")
+    got = {(r.a, r.b) for r in neardup.near_links(found, 0.48, shard=40)[1].collect()}
+    assert len(got) >= 0.97 * 150 and got <= {(2 * i, 2 * i + 1) for i in range(150)}
+
+
+@pytest.mark.parametrize("similarity, radius, least, most", [(0.98, 4, 0.0, 0.5), (0.8, None, 0.95, 1.0), (0.5, None, 0.95, 1.0)])
+def test_share_of_nodes_that_a_tree_visits(similarity, radius, least, most):
+    """Why the bands, not the trees, do the work at half: the radius that half needs follows nearly every edge."""
+    prints = neardup.fingerprints(neardup.sketches(drawn_sets(np.random.default_rng(5), 200, 150, similarity))).view(np.uint64).tolist()
+    marks = [a | b << 64 | c << 128 | d << 192 for a, b, c, d in prints]
+    tree = neardup.BKTree()
+    for i, m in enumerate(marks):
+        tree.add(m, i)
+    tree.visited = 0
+    r = radius or int(128 * (1 - similarity) + 2.75 * ((1 - similarity) * (1 + 4 * similarity) * 64) ** 0.5)
+    for m in marks:
+        list(tree.within(m, r))
+    assert least <= tree.visited / len(marks) ** 2 <= most
 
 
 def test_components(spark):
@@ -205,6 +332,40 @@ def test_names(spark):
     assert got == {(1, a, b) for a in same for b in same if a < b}
 
 
+def test_linkage_in_rounds_matches_one_task(spark):
+    rng = np.random.default_rng(22)
+    x = rng.random((30, 4))
+    s = 1 - np.linalg.norm(x[:, None] - x[None], axis=2)
+    s[s < 0.5] = 0
+    links = [(a, b, float(s[a, b])) for a in range(30) for b in range(a + 1, 30) if s[a, b] > 0]
+    want = names._linked(s * (1 - np.eye(30)), 0.45)
+    got = {r.fid: r.group for r in names.linked_in_rounds(spark.createDataFrame(links, "a long, b long, similar double"), 0.45).collect()}
+    same = lambda g: {(a, b) for a in got for b in got if a < b and g[a] == g[b]}
+    assert same(got) == same(want)
+
+
+def test_cosine_and_linkage_part_names_that_rules_would_join(spark):
+    df = frame(spark, [(i, 1, n, None) for i, n in enumerate(["Ana Lima", "A. Lima", "A. Lima Prado", "Aldo Lima Prado"])]).withColumn("autor", F.col("titulo"))
+    pairs = lambda **k: {(r.name_a, r.name_b) for r in names.name_pairs(names.same_names(df, **k)).collect()}
+    assert pairs() < pairs(cosine=0.0, linkage=0.0)
+
+
+def test_passages_are_taken_out(spark):
+    item = " ".join(f"termo{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, f"Antes. {item.upper().replace(' ', ', ')}! Depois, fim."), (2, "Nada aqui."), (3, None), (4, "ﬁm " + item)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, texto string")
+    got = {r.doc_id: r for r in leakage.without_leaks(docs, items).collect()}
+    assert got[1].text == "Antes. ! Depois, fim." and (got[1].n_words, got[1].n_removed) == (23, 20)
+    assert got[2].text == "Nada aqui." and got[3].text is None and got[4].text == "ﬁm " and got[4].n_removed == 20
+    assert {r.doc_id for r in leakage.without_leaks(docs, items, whole=True).collect()} == {2, 3}
+
+
+def test_leaks_joined_when_too_many_to_hold(spark):
+    docs, items = spark.createDataFrame([(1, " ".join(f"t{i}" for i in range(30)))], "d long, t string"), spark.createDataFrame([(5, " ".join(f"t{i}" for i in range(9, 25)))], "i long, t string")
+    a, b = (sorted(map(tuple, leakage.leaked_windows(docs, items, "d", "t", "i", "t", 12, held_windows=n).collect())) for n in (100, 0))
+    assert a == b == [(1, 5, k) for k in range(9, 14)]
+
+
 def test_leaks_match_brute_force(spark):
     rng = random.Random(8)
     items = [" ".join(f"termo{rng.randrange(400)}" for _ in range(40)) for _ in range(20)]
@@ -241,10 +402,40 @@ def test_mixture(spark, tmp_path):
 
 
 def test_min_cost_flow_prefers_first_uses():
-    flow = mixture.min_cost_flow({("a", 1): 10, ("a", 2): 10, ("a\nb", 1): 10}, {("a", 1): ["a"], ("a", 2): ["a"], ("a\nb", 1): ["a", "b"]}, {"a": 12, "b": 10}, lambda r: float((r - 1) ** 2))
+    flow = mixture.min_cost_flow({("a", 1): 10, ("a", 2): 10, ("a\nb", 1): 10}, {("a", 1): ["a"], ("a", 2): ["a"], ("a\nb", 1): ["a", "b"]}, {"a": 12, "b": 10})
     assert flow == {("a", 1, "a"): 10, ("a", 2, "a"): 2, ("a\nb", 1, "b"): 10}
 
 
+def test_largest_total_counts_shared_texts_once():
+    supply, uses = {("a\nb", 1): 10, ("a", 1): 4}, {("a\nb", 1): ["a", "b"], ("a", 1): ["a"]}
+    assert mixture.largest_total(supply, uses, {"a": 0.5, "b": 0.5}) in (13, 14)
+    assert mixture.largest_total({}, {}, {}) == 0
+
+
+def test_flow_moves_what_it_drew_before():
+    rng = random.Random(15)
+    for _ in range(60):
+        names = "abcd"
+        supply = {("".join(sorted(rng.sample(names, rng.randrange(1, 4)))) + str(i), 1): rng.randrange(1, 9) for i in range(6)}
+        uses = {k: [c for c in k[0] if c in names] for k in supply}
+        quota = {c: rng.randrange(0, 12) for c in names}
+        flow = mixture.min_cost_flow(supply, uses, quota)
+        # The greatest flow equals the least cut, over all sets of sources.
+        cut = min(sum(quota[c] for c in names if c not in cut) + sum(n for k, n in supply.items() if set(uses[k]) & cut) for m in range(16) for cut in [{c for i, c in enumerate(names) if m >> i & 1}])
+        assert sum(flow.values()) == cut
+
+
+def test_mixture_repeats_short_sources(spark, tmp_path):
+    import base64
+
+    ranks = tmp_path / "bytes.tiktoken"
+    ranks.write_bytes(b"\n".join(base64.b64encode(bytes([i])) + b" " + str(i).encode() for i in range(256)))
+    docs = [(i, f"{s} {i:04d}" * 5, s) for i, s in enumerate(["a"] * 300 + ["b"] * 60)]
+    d, w = spark.createDataFrame(docs, "doc_id long, text string, source string"), spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 4)], "source string, peso double, max_repeticoes int")
+    got = {r.source: r for r in mixture.mix(d, w, str(ranks), all_tokens=True)[0].collect()}
+    assert got["b"].most_uses == 3 and got["a"].most_uses == 1 and abs(got["b"].share - 0.5) < 0.03
+
+
 def test_spam(spark):
     rng = random.Random(9)
     spammy = ["curso online barato " * 40, "\n".join(f"[curso online](https://x{i}.example/p)" for i in range(30)), "\n".join(f"curso barato em cidade{i} - hotel" for i in range(25)), "Curso barato é o curso certo, e curso barato só no nosso curso. " * 12, " ".join("#cursobarato" for _ in range(40))]
@@ -253,6 +444,19 @@ def test_spam(spark):
     assert sorted(r.key for r in spam.spam_pages(df).where("spam").collect()) == list(range(len(spammy)))
 
 
+def test_counts_by_page_and_host_find_stitched_pages(spark):
+    """Pages that say each phrase once or twice are found only by what other hosts' pages say."""
+    rng = random.Random(23)
+    mods = [word(rng) for _ in range(60)]
+    keys = [f"{word(rng)} {word(rng)}" for _ in range(6)]
+    loud = [(i, "\n".join(f"{k} {rng.choice(mods)}" for k in keys for _ in range(2)), f"h{i % 4}") for i in range(8)]
+    calm = [(100, "\n".join(f"{k} {rng.choice(mods)}" for k in keys), "h9")]
+    plain = [(200 + i, "\n".join(f"{word(rng)} {word(rng)} {word(rng)}" for _ in range(12)), f"h{i}") for i in range(8)]
+    df = spark.createDataFrame(loud + calm + plain, "doc_id long, text string, source string")
+    flagged = lambda hosts: {r.key for r in spam.spam_pages(df, hosts=hosts).where("spam").collect()}
+    assert flagged(2) == {*range(8), 100} and len(flagged(99)) < len(flagged(2))
+
+
 def test_long_texts(spark):
     long = "\n".join(body(random.Random(1), 3000))
     df = frame(spark, [(1, 1, "t", long), (2, 1, "t", "x" * 500_000)])
