@@ -217,15 +217,15 @@ def truncated(docs: DataFrame, key: str = "id", source: str = "veiculo_id", titl
     says = F.when(elsewhere == 0, F.log(F.lit(INSIDE_WORD) / F.least(F.col("rare"), F.lit(INSIDE_WORD)))).otherwise(F.log(F.col("rate") / ((F.coalesce("n_end", F.lit(0)) + F.col("rate") / 2) / (elsewhere + 0.5))))
     words_say = known.select("word", bound(F.coalesce(says, F.lit(0.0))).alias("says"))
     judged = placed.join(words_say, "word", "left").withColumn("says", F.when(F.col("form").isin("closed", "broken", "open"), 0.0).otherwise(F.coalesce("says", F.lit(0.0))))
-    # Bare ends with words that end sentences are what whole texts of the source look like.
-    habit = judged.groupBy("source").agg(((F.count_if((F.col("form") == "bare") & (F.col("says") < -1)) + 1) / (F.count("*") + 30)).alias("habit")).withColumnRenamed("source", "s_")
+    at = lambda m: F.coalesce(f"at_{m}", F.lit(0.0))
+    stands = F.when(F.col("last"), F.greatest(at("chars"), at("bytes"), at("article"))).otherwise(at("article")) if fits else F.lit(0.0)
+    posterior = F.greatest(F.lit(base), stands)
+    # Bare ends away from any limit, with words that end sentences, are what whole texts of the source look like.
+    habit = judged.groupBy("source").agg(((F.count_if((F.col("form") == "bare") & (F.col("says") < -0.5) & (stands < 0.5)) + 1) / (F.count("*") + 30)).alias("habit")).withColumnRenamed("source", "s_")
     judged = judged.join(hinted(habit), F.col("source").eqNullSafe(F.col("s_")), "left").drop("s_")
     form = F.coalesce(*[F.when(F.col("form") == f, F.lit(odds)) for f, odds in FORM_ODDS.items()], F.log(F.lit(BARE_IF_CUT) / F.col("habit")))
     headline = F.when((F.col("form") == "bare") & F.col("single") & ~F.col("last"), HEADLINE_ODDS).otherwise(0.0)
     spaced = F.when(F.col("form").isin("bare", "open") & F.col("spaced") & F.col("last"), 2.0).otherwise(0.0)
-    at = lambda m: F.coalesce(f"at_{m}", F.lit(0.0))
-    stands = F.when(F.col("last"), F.greatest(at("chars"), at("bytes"), at("article"))).otherwise(at("article")) if fits else F.lit(0.0)
-    posterior = F.greatest(F.lit(base), stands)
     prior = F.least(posterior, F.lit(0.98))
     probability = 1 / (1 + F.exp(-(F.log(prior / (1 - prior)) + form + F.col("says") + spaced + headline)))
     each = judged.select("key", "source", "chars", "form", "word", "says", "habit", "last", posterior.alias("posterior"), probability.alias("probability"))
