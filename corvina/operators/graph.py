@@ -38,18 +38,20 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return degree.join(inside, "label", "left").crossJoin(total).agg(F.round(F.sum(F.coalesce("w_in", F.lit(0.0)) / F.col("w") - (F.col("deg") / (2 * F.col("w"))) ** 2), 6).alias("modularity"))
 
 
-def communities(edges: DataFrame, rounds: int = 12) -> DataFrame:
+def local_moving(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, label): communities by local moving.
 
     In each round a node hears how much weight ties it to each label next to
     it and what the label's degree takes off, and moves to the best; nodes of
     even and odd hash move in turn, which keeps neighbours from changing places.
-    Ties go to the least label.  Every round is written to the shared folder.
+    Ties go to the least label.  Every round is written to the shared folder;
+    it ends when nothing moves for two rounds, and every state on the way is a
+    labelling of its own, so ``rounds`` may end it earlier.
     """
     both = stash(edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
     degree = stash(both.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("deg")))
     total = both.agg(F.sum("weight").alias("w2")).first().w2 or 1.0
-    labels = degree.select("node", F.col("node").alias("label"))
+    labels, still = degree.select("node", F.col("node").alias("label")), 0
     for r in range(rounds):
         size = labels.join(degree, "node").groupBy("label").agg(F.sum("deg").alias("size"))
         ties = both.join(labels.select(F.col("node").alias("b"), "label"), "b").where("a <> b").groupBy(F.col("a").alias("node"), "label").agg(F.sum("weight").alias("tie"))
@@ -61,11 +63,30 @@ def communities(edges: DataFrame, rounds: int = 12) -> DataFrame:
         moves = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
         moved = stash(best.select("node", F.when(moves, F.col("best")).otherwise(F.col("own")).alias("label"), (moves & (F.col("best") != F.col("own"))).alias("moved")))
         labels = moved.select("node", "label")
-        if r and moved.where("moved").isEmpty():
+        still = still + 1 if moved.where("moved").isEmpty() else 0
+        if still == 2:
             break
     return labels
 
 
+def communities(edges: DataFrame, levels: int = 20) -> DataFrame:
+    """(node, label): communities by local moving, whose communities then move as nodes of their own, until none joins another.
+
+    Ties inside a community stay as a tie of it with itself.  A label is the
+    name of one of its nodes.
+    """
+    labels, level = None, edges.select("a", "b", "weight")
+    for _ in range(levels):
+        found = stash(local_moving(level))
+        labels = found if labels is None else stash(labels.join(found.select(F.col("node").alias("label"), F.col("label").alias("next")), "label").select("node", F.col("next").alias("label")))
+        if found.where("node <> label").isEmpty():
+            break
+        of = lambda x: found.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))  # noqa: B023, E731
+        named = level.join(of("a"), "a").join(of("b"), "b")
+        level = stash(named.groupBy(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")).agg(F.sum("weight").alias("weight")))
+    return labels
+
+
 def components(links: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, component): connected components of links (a, b), named by their least node.
 

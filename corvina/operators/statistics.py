@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from corvina.functions.rounding import rounded
+from corvina.session import stash
 
 
 def descriptives(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -65,14 +66,15 @@ def anova(df: DataFrame, value: str, group: str) -> DataFrame:
 def mid_ranks(df: DataFrame, value: str, group: str) -> DataFrame:
     """(value, group, n, rank, ties): the histogram of values by group with the mid-rank of each value.
 
-    The running count is taken over blocks of values first, so that the window
-    inside a block stays small however many distinct values there are.
+    Distinct values are parted into ranges of equal size, whatever they are;
+    the running count is taken over the ranges first, of which there are as
+    many as partitions, and then inside each.
     """
     h = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(F.col(value).cast("double").alias("value"), F.col(group).alias("group")).agg(F.count("*").alias("n"))
-    per_value = h.groupBy("value").agg(F.sum("n").alias("ties")).withColumn("block", F.floor(F.col("value") * 100))
+    per_value = stash(h.groupBy("value").agg(F.sum("n").alias("ties")).repartitionByRange("value").withColumn("block", F.spark_partition_id()))
     blocks = per_value.groupBy("block").agg(F.sum("ties").alias("b")).withColumn("ahead", F.coalesce(F.sum("b").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("b")
     inside = Window.partitionBy("block").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per_value.withColumn("in", F.coalesce(F.sum("ties").over(inside), F.lit(0))).join(blocks, "block").select("value", "ties", (F.col("ahead") + F.col("in") + (F.col("ties") + 1) / 2).alias("rank"))
+    ranked = per_value.withColumn("in", F.coalesce(F.sum("ties").over(inside), F.lit(0))).join(F.broadcast(blocks), "block").select("value", "ties", (F.col("ahead") + F.col("in") + (F.col("ties") + 1) / 2).alias("rank"))
     return h.join(ranked, "value")
 
 

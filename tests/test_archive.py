@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corvina.functions import text as T
 from corvina.operators import events as E
 from corvina.operators import graph as G
+from corvina.operators import statistics as S
 from corvina.operators import upserts as U
 
 
@@ -107,3 +108,49 @@ def test_text(spark):
     assert b == "Texto um\n\nx"
     long = "palavra " * 60
     assert spark.createDataFrame([(long,)], "b string").select(T.summary(F.col("b")).alias("s")).first().s.endswith("palavra...")
+
+
+def test_exact_similarity_matches_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, int(i % 2) if i % 11 else None, sorted({f"t{x}" for x in rng.integers(0, 9, size=rng.integers(0, 6))})) for i in range(80)]
+    rows.append((200, 0, ["t1"] * 3))
+    df = spark.createDataFrame(rows, "id long, w long, terms array<string>")
+    sets = [(i, w, set(t)) for i, w, t in rows if w is not None and t]
+    for cosine in (0.65, 0.93875, 1.0):
+        want = {(a, b) for a, w, s in sets for b, v, t in sets if a < b and w == v and len(s & t) / (len(s) * len(t)) ** 0.5 >= cosine - 1e-9}
+        assert {(r.a, r.b) for r in E.similar_pairs(df, "id", "w", "terms", cosine).collect()} == want
+
+
+def test_selectors(spark):
+    from corvina.operators import selectors as Q
+
+    v = spark.createDataFrame([(1, "gz", "Gazeta", "tradicional"), (2, "pn", "Portal Novo", "digital_nativo"), (3, None, None, None)], "id long, codigo string, nome string, tipo string")
+    ids = lambda wanted: sorted(r.id for r in Q.select_outlets(v, wanted).collect())
+    assert (ids("Tradicionais"), ids("digital, gaz"), ids("PORTAL"), ids("nada"), ids(" , ")) == ([1], [1, 2], [2], [1, 2, 3], [1, 2, 3])
+    assert Q.years_of("2018-2016, 2020, x, 20-21") == [(2016, 2018), (2020, 2020)]
+
+
+def test_mid_ranks_of_concentrated_values(spark):
+    rng = np.random.default_rng(9)
+    x = np.round(0.5 + rng.random(400) * 1e-4, 6)
+    df = spark.createDataFrame([(float(v), "ab"[i % 2]) for i, v in enumerate(x)], "v double, g string")
+    rank = {v: (x < v).sum() + ((x == v).sum() + 1) / 2 for v in x}
+    assert all(r["rank"] == rank[r.value] for r in S.mid_ranks(df, "v", "g").collect())
+
+
+def test_components_and_article_dates(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101)], "a long, b long")
+    assert {(r.node, r.component) for r in G.components(chain).collect()} == {(i, 0) for i in range(31)} | {(100, 100), (101, 100)}
+    rows = [("2020-03-04T10:00:00Z", "https://a/2019/01/02/x", None), (None, "https://a/2019/01/02/x", None), ("ontem", "https://a/2019/13/02/x", None), (None, "https://a/2018/07/x", None), (None, "https://a/x", '<meta property="article:published_time" content="2017-05-06">'), (None, "https://a/x", None)]
+    d = spark.createDataFrame(rows, "w string, u string, h string").select(T.article_date(F.col("w"), F.col("u"), F.col("h"), F.lit("2021-01-01").cast("date")).alias("d")).collect()
+    assert [(str(r.d.date), r.d.origin) for r in d] == [("2020-03-04", "metadados"), ("2019-01-02", "url_dia"), ("2021-01-01", "coleta"), ("2018-07-01", "url_mes"), ("2017-05-06", "meta"), ("2021-01-01", "coleta")]
+
+
+def test_vectors(spark):
+    from corvina.functions import vectors as V
+
+    df = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [2.0, 0.2], 0), (3, [0.0, 3.0], 1), (4, [0.0, 0.0], 1), (5, None, None)], "id long, v array<float>, label int")
+    got = {r.id: (r.anchor, r.similarity) for r in V.nearest_anchor(df, "id", "v", "label").collect()}
+    assert got[1][0] == 0 and got[3][0] == 1 and got[4] == (0, 0.0)
+    back = df.select("id", V.from_blob(V.to_blob(F.col("v"))).alias("v")).collect()
+    assert [r.v for r in back][:1] == [[1.0, 0.0]] and back[4].v is None
