@@ -44,21 +44,29 @@ def long_values(tables: list[tuple[str, DataFrame, str, str, Column, list[tuple[
     return reduce(DataFrame.unionByName, parts)
 
 
+def _jump(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Cost of a moment that lies more than a day before the one in front of it; 0 where one is unknown."""
+    back = np.nan_to_num(np.maximum(before - after, 0) / 86_400)
+    return np.minimum(BACK, np.log1p(back) / 2) * (back > 1)
+
+
 def _path(first: np.ndarray, last: np.ndarray, read: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Costs [start, end] of the best paths through a stretch and their states [value, start, end].
 
     ``read`` [value, state]: seconds of each reading (nan where there is none);
-    ``before``: the moment in front of each value, nan where unknown.
+    ``before``: the moment in front of each value where that has one reading
+    only.  Where it is nan, the value in front is one of the path's own, and
+    the jump back is charged between the readings that the path gives the two.
     """
     n, k = read.shape
-    emit = np.where(np.isnan(read), UNREADABLE, 0.0)
-    back = np.maximum(before[:, None] - read, 0) / 86_400
-    emit = emit + np.where(np.isnan(back), 0.0, np.minimum(BACK, np.log1p(np.nan_to_num(back)) / 2) * (np.nan_to_num(back) > 1))
+    emit = np.where(np.isnan(read), UNREADABLE, 0.0) + _jump(before[:, None], read)
     change = SWITCH * (1 - np.eye(k))
     cost = np.where(np.eye(k, dtype=bool), emit[0], np.inf) if n else np.where(np.eye(k, dtype=bool), 0.0, np.inf)
     came = np.zeros((n, k, k), np.int8)
     for i in range(1, n):
         step = cost[:, :, None] + change[None]
+        if np.isnan(before[i]):
+            step = step + _jump(read[i - 1][:, None], read[i][None])[None]
         came[i] = step.argmin(axis=1)
         cost = step.min(axis=1) + emit[i]
     states = np.zeros((n, k, k), np.int8)
@@ -90,6 +98,9 @@ def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pick = part["slashed"].to_numpy(bool)
         if not pick.any():
             return None
+        # What stands in front of a slashed value is the last single one only if no slashed one came since.
+        slash = np.concatenate([[-1], np.maximum.accumulate(np.where(pick, np.arange(len(part)), -1))[:-1]])
+        before = np.where(ahead > slash, before, np.nan)
         mine = part[pick]
         read = mine[["day_first", "month_first"]].to_numpy(float)
         cost, states = _path(read[0], read[-1], read, before[pick])

@@ -73,6 +73,7 @@ def test_paths_match_brute_force(seed):
     read = rng.integers(0, 50, (7, 2)) * 86_400.0
     read[rng.random((7, 2)) < 0.3] = np.nan
     before = rng.integers(0, 50, 7) * 86_400.0
+    before[rng.random(7) < 0.4] = np.nan
     cost, states = _path(read[0], read[-1], read, before)
 
     def price(path):
@@ -81,7 +82,9 @@ def test_paths_match_brute_force(seed):
             total += SWITCH * (i > 0 and path[i - 1] != s)
             if np.isnan(read[i, s]):
                 total += UNREADABLE
-            elif (back := (before[i] - read[i, s]) / 86_400) > 1:
+                continue
+            front = before[i] if not np.isnan(before[i]) else read[i - 1, path[i - 1]] if i else np.nan
+            if (back := (front - read[i, s]) / 86_400) > 1:
                 total += min(BACK, np.log1p(back) / 2)
         return total
 
@@ -89,3 +92,11 @@ def test_paths_match_brute_force(seed):
         paths = [p for p in itertools.product((0, 1), repeat=7) if p[0] == a and p[-1] == b]
         assert cost[a, b] == pytest.approx(min(map(price, paths)))
         assert price(tuple(states[:, a, b])) == pytest.approx(cost[a, b])
+
+
+def test_order_of_a_source_with_slashed_dates_only(spark):
+    """Nothing but the jumps between the dates themselves tells the order."""
+    days = [(d, m) for m in (1, 2, 3, 4) for d in range(1, 13, 2)]
+    rows = [(i, 1, f"{m:02d}/{d:02d}/2020", None, None, None) for i, (d, m) in enumerate(days)]
+    got = {r.id: r.normal for r in normalise_timestamps(_values(spark, rows)).collect()}
+    assert got == {i: f"2020-{m:02d}-{d:02d}" for i, (d, m) in enumerate(days)}
