@@ -11,7 +11,7 @@ from corvina.functions import vectors as V
 from corvina.functions.rounding import rounded
 from corvina.operators import events as E
 from corvina.operators import graph as G
-from corvina.plans.archive import _COVER, SQL, _graph, _sum_contains, _terms_sql, query
+from corvina.plans.archive import _COVER, SQL, _any_contains, _graph, _sum_contains, _terms_sql, query
 from corvina.tables import table
 
 # Terms of shared events
@@ -74,6 +74,23 @@ def anchor_topics(spark, folder):
     return V.nearest_anchor(table(spark, folder, "embeddings"), "vec_id", "embedding", "label").select("vec_id", "label", F.col("anchor").alias("previsto"), rounded("similarity", 4).alias("semelhanca"))
 
 
+@query(f"""SELECT m.id, coalesce(CASE {" ".join(f"WHEN {_any_contains('lower(m.url)', parts)} THEN '{axis}'" for axis, parts in X.AXIS_SEGMENTS.items())} END, 'rotulo ' || t.previsto) AS eixo FROM materias m JOIN ({SQL['anchor_topics']}) t ON m.id = t.vec_id""")
+def guarded_topics(spark, folder):
+    """The topic of articles that have a vector: what their address names, else the nearest anchor."""
+    near = V.nearest_anchor(table(spark, folder, "embeddings"), "vec_id", "embedding", "label").select(F.col("vec_id").alias("id"), "anchor")
+    m = table(spark, folder, "materias").select("id", "url")
+    return m.join(near, "id").select("id", F.coalesce(T.axis_by_address(F.col("url")), F.concat(F.lit("rotulo "), F.col("anchor").cast("string"))).alias("eixo"))
+
+
+@query()
+def vector_events(spark, folder):
+    """Articles that have a vector, grouped inside windows of days: leaders in small windows, density groups in larger ones."""
+    m = table(spark, folder, "materias").withColumn("dia", F.col("criado_em").cast("date")).select("id", "dia")
+    e = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    placed = E.with_window(m.join(e, "id"), E.anchored_windows(m, "dia"), "dia")
+    return E.event_groups(placed, "id", "embedding").select(F.col("key").alias("id"), "window", "event_id")
+
+
 @query("SELECT m.id, e.label, len(e.embedding)::INT AS dimensoes FROM materias m JOIN embeddings e ON m.id = e.vec_id WHERE CAST(m.criado_em AT TIME ZONE 'UTC' AS DATE) BETWEEN DATE '2016-01-01' AND DATE '2020-12-31'")
 def window_vectors(spark, folder):
     """Articles of a window of dates with their vectors."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corvina.functions import fixed as X
 from corvina.functions import text as T
 from corvina.functions.rounding import rounded
+from corvina.operators import events as E
 from corvina.operators import results as R
 from corvina.operators import selectors as Q
 from corvina.operators import upserts as U
@@ -123,6 +124,47 @@ def mentions_replaced(spark, folder):
     return U.replace_children(old, new, "materia_id").where("texto_entidade is not null or id > 0").select("id", "texto_entidade")
 
 
+@query("SELECT vec_id, CASE WHEN label = 0 THEN 99 ELSE label END AS label, len(embedding)::INT AS dimensoes FROM embeddings")
+def embeddings_upserted(spark, folder):
+    """Vectors after those of one label were computed anew, here under another label."""
+    e = table(spark, folder, "embeddings")
+    new = e.where("label = 0").withColumn("label", F.lit(99).cast(e.schema["label"].dataType))
+    return U.upsert(e, new, "vec_id").select("vec_id", F.col("label").cast("int").alias("label"), F.size("embedding").alias("dimensoes"))
+
+
+# Dashboards
+
+
+@query("""SELECT (SELECT count(*) FROM urls_coletadas) AS n_urls, (SELECT count(*) FROM urls_coletadas WHERE status_extracao = 'pendente') AS n_pendentes, (SELECT count(*) FROM materias) AS n_materias, (SELECT count(*) FROM materias WHERE evento_id >= 0) AS n_em_eventos,
+    (SELECT count(DISTINCT evento_id) FROM materias WHERE evento_id >= 0) AS n_eventos, (SELECT count(*) FROM entidades_mencoes) AS n_mencoes, (SELECT count(*) FROM materias WHERE ner_processado = 1) AS n_lidas, (SELECT round(avg(score_clickbait), 4) FROM materias) AS clickbait""")
+def dashboard_quick(spark, folder):
+    """The archive in one row."""
+    u = table(spark, folder, "urls_coletadas").agg(F.count("*").alias("n_urls"), F.count_if(F.col("status_extracao") == "pendente").alias("n_pendentes"))
+    in_event = F.col("evento_id") >= 0
+    m = table(spark, folder, "materias").agg(F.count("*").alias("n_materias"), F.count_if(in_event).alias("n_em_eventos"), F.countDistinct(F.when(in_event, F.col("evento_id"))).alias("n_eventos"), F.count_if(F.col("ner_processado") == 1).alias("n_lidas"), rounded(F.avg("score_clickbait"), 4).alias("clickbait"))
+    return u.crossJoin(m).crossJoin(table(spark, folder, "entidades_mencoes").agg(F.count("*").alias("n_mencoes")))
+
+
+@query("""SELECT v.codigo, u.fonte_coleta, u.status_extracao, count(*) AS n, count(u.eixo_tematico) AS n_com_eixo, count(m.url_id) AS n_extraidas, CAST(min(CAST(u.criado_em AT TIME ZONE 'UTC' AS DATE)) AS VARCHAR) AS primeira, CAST(max(CAST(u.criado_em AT TIME ZONE 'UTC' AS DATE)) AS VARCHAR) AS ultima
+    FROM urls_coletadas u JOIN veiculos v ON u.veiculo_id = v.id LEFT JOIN (SELECT DISTINCT url_id FROM materias WHERE url_id IS NOT NULL) m ON m.url_id = u.id GROUP BY ALL""")
+def dashboard_full(spark, folder):
+    """The queue by outlet, source and status: how many have an axis and an article, and from when to when."""
+    u, day = table(spark, folder, "urls_coletadas"), F.col("criado_em").cast("date")
+    v = table(spark, folder, "veiculos").select(F.col("id").alias("veiculo_id"), "codigo")
+    m = table(spark, folder, "materias").select(F.col("url_id").alias("m_")).where("m_ is not null").distinct()
+    joined = u.join(hinted(v), "veiculo_id").join(m, F.col("id") == F.col("m_"), "left")
+    return joined.groupBy("codigo", "fonte_coleta", "status_extracao").agg(F.count("*").alias("n"), F.count("eixo_tematico").alias("n_com_eixo"), F.count("m_").alias("n_extraidas"), F.min(day).cast("string").alias("primeira"), F.max(day).cast("string").alias("ultima"))
+
+
+@query(f"SELECT p.* FROM ({SQL['event_profiles']}) p JOIN ({SQL['macro_events']}) s ON p.evento_id = s.id")
+def macro_event_profiles(spark, folder):
+    """Profiles of the selected events only: the selection is joined to the articles before anything is counted."""
+    from corvina.plans.archive import macro_events
+
+    chosen = macro_events(spark, folder).select(F.col("id").alias("evento_id"))
+    return E.event_profile(articles(spark, folder).join(chosen, "evento_id", "left_semi"))
+
+
 # Dates, texts and labels
 
 _ISO = r"'^\s*(\d{4})-(\d{2})-(\d{2})'"

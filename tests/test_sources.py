@@ -123,3 +123,17 @@ def test_settings_and_sql_functions(spark, tmp_path):
     assert "corvina_tone" in register(spark)
     r = spark.sql("SELECT corvina_tone(0.1D) AS t, corvina_bias(-0.5D, 1D) AS b, corvina_within(DATE '2020-01-01', DATE '2020-01-02', DATE '2020-01-03') AS w").first()
     assert (r.t, r.b, r.w) == ("positivo", 1.0, False)
+
+
+def test_anchored_windows_of_a_stream(spark, tmp_path):
+    day = lambda d, m=1: dt.datetime(2020, m, d)
+    src, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    batches = [[("a", day(1)), ("a", day(6)), ("b", day(3)), (None, day(3))], [("a", day(4)), ("a", day(9))], [("a", day(3)), ("a", day(1, 3)), ("b", None)]]
+    schema = "eixo string, criado_em timestamp"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = ingest.arriving(spark, src, spark.read.parquet(src).schema)
+        q = ingest.anchored_counts(stream, "criado_em", "eixo").writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = {(r.eixo, r.start.day, r.n, r.late) for r in spark.read.parquet(out).collect()}
+    assert got == {("a", 1, 3, False), ("a", 9, 1, False), ("a", 3, 1, True), ("b", 3, 1, False)}
