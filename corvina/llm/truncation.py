@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvina.llm.boilerplate import COL, KNOWN_SHARE, Pages, Shares, known_shares, seed_labels
-from corvina.llm.text import DIGITS
+from corvina.llm.text import DIGITS, hash64, line_key
 from corvina.session import hinted, stash
 
 #: A tag or an entity that never closes.
@@ -37,6 +37,10 @@ EDGE, QUOTES, STOPS = "\"'“”‘’«»()[]*.,;:!?…", "\"'”’»)]", ".!?
 FORM_ODDS = {"closed": -9.0, "broken": 9.0, "open": 6.0, "marked": 5.0, "listed": -1.5}
 #: Odds of a bare line of one sentence with furniture behind it, which may be the headline of another article.
 HEADLINE_ODDS = -2.5
+#: Documents that end in the same short line, from which it is no end of an article, and its odds.
+SAME_ENDS, SAME_END_ODDS = 3, -6.0
+#: Share of a word's uses at possible cuts from which it is taken for a fragment.
+FRAGMENT = 0.25
 #: Share of cuts that fall inside a word, and of cut texts without a closing sign.
 INSIDE_WORD, BARE_IF_CUT = 0.6, 0.95
 #: Words of a headline, at most.
@@ -64,7 +68,8 @@ def shapes(line: str) -> tuple[list[str], list[int]]:
     """The words of a line as they are counted (lower case, digits alike, bare), and where sentences end."""
     raw = DIGITS.sub("0", line.lower()).split()
     ends = [i for i, t in enumerate(raw) if t[-1] in STOPS or (t[-1] in QUOTES and t.rstrip(QUOTES)[-1:] in STOPS and t.rstrip(QUOTES))]
-    return [t.strip(EDGE) for t in raw], ends
+    said = [t.strip(EDGE) for t in raw]
+    return said, ends[1:] if ends and ends[0] == 0 and said[0] == "0" else ends  # "3." in front numbers the line
 
 
 def _normal_tail(z: np.ndarray) -> np.ndarray:
@@ -112,7 +117,16 @@ def length_limits(lengths: pd.DataFrame, least: int = 3, excess: float = 4.0) ->
         return pd.DataFrame({"source": pd.array([], "Int64"), "measure": pd.array([], "str"), "n": np.empty(0, np.int64), "posterior": np.empty(0)})
     mu, sigma = censored_fit(n, rows, cand)
     density = total * np.exp(-(((np.log(np.maximum(n, 1)) - mu) / sigma) ** 2) / 2) / (np.maximum(n, 1) * sigma * math.sqrt(2 * math.pi))
-    posterior = 1 - np.minimum(np.maximum(density, around), rows) / rows
+    explained = np.maximum(density, around)
+    posterior = 1 - np.minimum(explained, rows) / rows
+    # How many lengths would hold as many rows by chance, against those that do.
+    grid = np.arange(int(n.min()), int(n.max()) + 1)
+    at_grid = np.interp(grid, n, explained)
+    for r in np.unique(rows[cand]):
+        log_k = np.cumsum(np.r_[0, np.log(np.arange(1, r))])
+        below = sum(np.exp(-at_grid + k * np.log(np.maximum(at_grid, 1e-12)) - log_k[k]) for k in range(int(r)))
+        chance = np.maximum(1 - below, 0).sum() / np.count_nonzero(rows >= r)
+        posterior[rows == r] *= 1 - min(chance, 1.0)
     return pd.DataFrame({"source": lengths["source"].astype("Int64").array[cand], "measure": lengths["measure"].array[cand], "n": n[cand].astype(np.int64), "posterior": posterior[cand]})
 
 
@@ -126,7 +140,7 @@ def article_endings(docs: DataFrame, source: str, title: str, body: str, key: st
     kind 'word': n uses of a word, n_end of them at the end of a sentence,
     title or line with another line behind it.
     """
-    columns = ["kind", "key", "source", "chars", "bytes", "article", "last", "word", "form", "spaced", "single", "n", "n_end"]
+    columns = ["kind", "key", "source", "chars", "bytes", "article", "last", "word", "form", "spaced", "single", "line", "n", "n_end"]
     held = docs.sparkSession.sparkContext.broadcast(shares.held())
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,7 +176,7 @@ def article_endings(docs: DataFrame, source: str, title: str, body: str, key: st
                         form, word = ending(lines[i], x[i, COL["bullet"]] > 0) if top else ("", "")
                         finals.update(said[e] for e in ends if form != "marked" or e < len(said) - 1)
                         if top:
-                            out.append(("end", keys[d], None if pd.isna(src) else int(src), len(bodies[d]), len(bodies[d].encode("utf-8", "replace")), size, i + 1 == len(doc) or doc[i + 1] != d, word, form, lines[i][-1:] == " ", not inner and len(said) <= HEADLINE_WORDS, 1, 0))
+                            out.append(("end", keys[d], None if pd.isna(src) else int(src), len(bodies[d]), len(bodies[d].encode("utf-8", "replace")), size, i + 1 == len(doc) or doc[i + 1] != d, word, form, lines[i][-1:] == " ", not inner and len(said) <= HEADLINE_WORDS, hash64(line_key(lines[i])), 1, 0))
                             top = form in ("bare", "closed") and not inner and len(said) <= HEADLINE_WORDS and not (form == "closed" and x[i, COL["prose"]] > 0)
                             size -= len(lines[i]) + 1
             if out:
@@ -175,10 +189,10 @@ def article_endings(docs: DataFrame, source: str, title: str, body: str, key: st
 
     def counts(seen: Counter, finals: Counter) -> pd.DataFrame:
         got = pd.DataFrame([("word", w, n, finals[w]) for w, n in seen.items()], columns=["kind", "word", "n", "n_end"])
-        return got.assign(key=0, source=pd.array([None] * len(got), "Int64"), chars=0, bytes=0, article=0, last=False, form="", spaced=False, single=False)[columns]
+        return got.assign(key=0, source=pd.array([None] * len(got), "Int64"), chars=0, bytes=0, article=0, last=False, form="", spaced=False, single=False, line=0)[columns]
 
     picked = docs.select(F.col(key).cast("long").alias("key"), F.col(source).cast("long").alias("source"), F.col(title).alias("title"), F.col(body).alias("body")).where(F.col("body").isNotNull() & (F.col("body") != ""))
-    return shares.beside(picked).mapInPandas(read, "kind string, key long, source long, chars int, bytes int, article int, last boolean, word string, form string, spaced boolean, single boolean, n long, n_end long")
+    return shares.beside(picked).mapInPandas(read, "kind string, key long, source long, chars int, bytes int, article int, last boolean, word string, form string, spaced boolean, single boolean, line long, n long, n_end long")
 
 
 def truncated(docs: DataFrame, key: str = "id", source: str = "veiculo_id", title: str = "titulo", body: str = "corpo", base: float = 0.05, fits: bool = True) -> DataFrame:
@@ -197,7 +211,8 @@ def truncated(docs: DataFrame, key: str = "id", source: str = "veiculo_id", titl
     read = stash(article_endings(docs, source, title, body, key, known_shares(docs, source, body)))
     ends = read.where("kind = 'end'").drop("kind", "n", "n_end")
     sizes = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("n")) for m in ("chars", "bytes", "article")])
-    measured = ends.where("last or form <> 'closed'").select("source", F.explode(sizes).alias("m")).select("source", "m.measure", "m.n")
+    # Copies of one text, which end in the same line, are one.
+    measured = ends.where("last or form <> 'closed'").select("source", "line", F.explode(sizes).alias("m")).select("source", "line", "m.measure", "m.n").distinct()
     histogram = measured.groupBy("source", "measure", "n").agg(F.count("*").alias("rows"))
     limits = stash(histogram.groupBy("source", "measure").applyInPandas(lambda pdf: length_limits(pdf), "source long, measure string, n long, posterior double"))
     placed = ends
@@ -209,12 +224,14 @@ def truncated(docs: DataFrame, key: str = "id", source: str = "veiculo_id", titl
     whole = F.broadcast(counted.agg(
         ((F.sum("n_end") + 1) / (F.sum("n") + 20)).alias("rate"), ((F.sum(F.when(F.col("n") <= 2, F.col("n_end"))) + 1) / (F.sum("n_end") + 20)).alias("rare"),
     ))
+    same = ends.where("single").groupBy("line").agg(F.count("*").alias("n_same")).where(F.col("n_same") >= SAME_ENDS)
+    placed = placed.join(same, "line", "left")
     own = ends.where("form not in ('closed', 'broken', 'open')").groupBy("word").agg(F.count("*").alias("n_own"))
     known = own.join(counted, "word", "left").crossJoin(whole)
     # Uses of the word elsewhere than at endings that may be cuts themselves.
     elsewhere = F.greatest(F.coalesce("n", F.lit(0)) - F.col("n_own"), F.lit(0))
     bound = lambda x: F.greatest(F.lit(-WORD_ODDS), F.least(F.lit(WORD_ODDS), x))
-    says = F.when(elsewhere == 0, F.log(F.lit(INSIDE_WORD) / F.least(F.col("rare"), F.lit(INSIDE_WORD)))).otherwise(F.log(F.col("rate") / ((F.coalesce("n_end", F.lit(0)) + F.col("rate") / 2) / (elsewhere + 0.5))))
+    says = F.when((elsewhere == 0) | (F.col("n_own") >= FRAGMENT * F.col("n")), F.log(F.lit(INSIDE_WORD) / F.least(F.col("rare"), F.lit(INSIDE_WORD)))).otherwise(F.log(F.col("rate") / ((F.coalesce("n_end", F.lit(0)) + F.col("rate") / 2) / (elsewhere + 0.5))))
     words_say = known.select("word", bound(F.coalesce(says, F.lit(0.0))).alias("says"))
     judged = placed.join(words_say, "word", "left").withColumn("says", F.when(F.col("form").isin("closed", "broken", "open"), 0.0).otherwise(F.coalesce("says", F.lit(0.0))))
     at = lambda m: F.coalesce(f"at_{m}", F.lit(0.0))
@@ -224,7 +241,7 @@ def truncated(docs: DataFrame, key: str = "id", source: str = "veiculo_id", titl
     habit = judged.groupBy("source").agg(((F.count_if((F.col("form") == "bare") & (F.col("says") < -0.5) & (stands < 0.5)) + 1) / (F.count("*") + 30)).alias("habit")).withColumnRenamed("source", "s_")
     judged = judged.join(hinted(habit), F.col("source").eqNullSafe(F.col("s_")), "left").drop("s_")
     form = F.coalesce(*[F.when(F.col("form") == f, F.lit(odds)) for f, odds in FORM_ODDS.items()], F.log(F.lit(BARE_IF_CUT) / F.col("habit")))
-    headline = F.when((F.col("form") == "bare") & F.col("single") & ~F.col("last"), HEADLINE_ODDS).otherwise(0.0)
+    headline = F.when(F.col("single") & F.col("n_same").isNotNull(), SAME_END_ODDS).when((F.col("form") == "bare") & F.col("single") & ~F.col("last"), HEADLINE_ODDS).otherwise(0.0)
     spaced = F.when(F.col("form").isin("bare", "open") & F.col("spaced") & F.col("last"), 2.0).otherwise(0.0)
     prior = F.least(posterior, F.lit(0.98))
     probability = 1 / (1 + F.exp(-(F.log(prior / (1 - prior)) + form + F.col("says") + spaced + headline)))
