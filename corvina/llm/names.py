@@ -145,6 +145,8 @@ def alike(a: list[str], b: list[str], known: frozenset | set = frozenset()) -> b
     return strong > 0
 
 
+#: Names that one task pairs on a gram; more are paired part by part.
+BLOCK_NAMES = 1_000
 #: Names of a component that one task links by itself; larger ones are linked in rounds over all of them.
 TASK_NAMES = 200
 
@@ -193,7 +195,7 @@ def _linked(similar: np.ndarray, cut: float) -> np.ndarray:
     return group
 
 
-def same_names(docs: DataFrame, name: str = "autor", source: str = "veiculo_id", cosine: float = 0.15, linkage: float = 0.45, first_names: int = 4, task_names: int = TASK_NAMES) -> DataFrame:
+def same_names(docs: DataFrame, name: str = "autor", source: str = "veiculo_id", cosine: float = 0.2, linkage: float = 0.45, first_names: int = 4, task_names: int = TASK_NAMES, block: int = BLOCK_NAMES) -> DataFrame:
     """(source, name, group): spellings of one person or agency within a source share a group.
 
     Null and empty names, names of two people and names without letters are
@@ -236,9 +238,13 @@ def same_names(docs: DataFrame, name: str = "autor", source: str = "veiculo_id",
     norms = weighted.groupBy("fid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     unit = stash(weighted.join(norms, "fid").withColumn("w", F.col("w") / F.col("norm")))
     rest = Window.partitionBy("fid").orderBy(F.col("df").desc(), F.col("gram").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    indexed = unit.withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))).where(F.col("rest") >= cosine).select("source", "gram", "fid")
-    other = indexed.select(F.col("source").alias("s_"), F.col("gram").alias("g_"), F.col("fid").alias("fid_b"))
-    pairs = indexed.join(other, F.col("source").eqNullSafe(F.col("s_")) & (F.col("gram") == F.col("g_")) & (F.col("fid") < F.col("fid_b"))).select(F.col("fid").alias("fid_a"), "fid_b").distinct()
+    indexed = unit.withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))).where(F.col("rest") >= cosine).select("source", "gram", "fid", F.ceil(F.col("df") / block).cast("int").alias("parts"))
+    # A gram of many names is joined in cells of two parts each, so that none makes a task of its own size squared.
+    placed = indexed.withColumn("part", F.pmod(F.xxhash64("fid"), F.col("parts")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = placed.select("source", "gram", "fid", "part", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"))
+    other = cells.select(F.col("source").alias("s_"), F.col("gram").alias("g_"), F.col("fid").alias("fid_b"), F.col("part").alias("p_"), F.col("lo").alias("lo_"), F.col("hi").alias("hi_"))
+    met = cells.join(other, F.col("source").eqNullSafe(F.col("s_")) & (F.col("gram") == F.col("g_")) & (F.col("lo") == F.col("lo_")) & (F.col("hi") == F.col("hi_")) & (F.col("fid") < F.col("fid_b")))
+    pairs = met.where((F.least("part", "p_") == F.col("lo")) & (F.greatest("part", "p_") == F.col("hi"))).select(F.col("fid").alias("fid_a"), "fid_b").distinct()
     vectors = unit.groupBy("fid").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("vector")).join(forms, "fid")
     side = lambda x: vectors.select(F.col("fid").alias(f"fid_{x}"), F.col("source").alias(f"source_{x}"), F.col("parts").alias(f"parts_{x}"), F.col("known").alias(f"known_{x}"), F.col("vector").alias(f"vector_{x}"))
     dot = F.aggregate(F.map_entries("vector_a"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at("vector_b", e["key"]), F.lit(0.0)))

@@ -331,6 +331,8 @@ def test_names(spark):
     df = frame(spark, [(i, 1, n, None) for i, n in enumerate([*same, *other, *same])] + [(99, 2, "A. Talipran", None)]).withColumn("autor", F.col("titulo"))
     got = {(r.source, r.name_a, r.name_b) for r in names.name_pairs(names.same_names(df)).collect()}
     assert got == {(1, a, b) for a in same for b in same if a < b}
+    parted = names.name_pairs(names.same_names(df, block=2, task_names=3))
+    assert {(r.source, r.name_a, r.name_b) for r in parted.collect()} == got
 
 
 def test_linkage_in_rounds_matches_one_task(spark):
