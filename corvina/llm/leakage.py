@@ -115,14 +115,17 @@ def without_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", te
         for batch in batches:
             texts, counts, gone = [], [], []
             for t, starts in zip(batch[text], batch["starts_"], strict=True):
-                at = word_spans(t) if t else []
-                drop = {i for s in (starts if starts is not None else ()) for i in range(s, min(s + n, len(at)))}
+                if starts is None or not t:
+                    texts.append(t), counts.append(len(words(t)) if t else 0), gone.append(0)
+                    continue
+                at = word_spans(t)
+                drop = {i for s in starts for i in range(s, min(s + n, len(at)))}
                 kept, last = [], 0
                 for i in sorted(drop):
                     if i - 1 not in drop:
                         kept.append(t[last : at[i][0]])
                     last = at[i][1]
-                texts.append((("".join(kept) + t[last:]) if drop else t))
+                texts.append("".join(kept) + t[last:])
                 counts.append(len(at)), gone.append(len(drop))
             yield batch.drop(columns="starts_").assign(**{text: texts, "n_words": counts, "n_removed": gone})
 
