@@ -120,15 +120,13 @@ def entity_attribution(spark, folder):
     """The polarity of each mention: of the words around its first place in the body, for persons and organisations among an article's first three; else the article's."""
     e = table(spark, folder, "entidades_mencoes")
     ranked = e.withColumn("r", F.row_number().over(Window.partitionBy("materia_id").orderBy(F.desc("contagem"), "id")))
-    m = table(spark, folder, "materias").select(F.col("id").alias("materia_id"), "corpo", F.coalesce("sentimento_polaridade", F.lit(0.0)).alias("pol"))
-    tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit(_TOKEN), 0)
-    t = ranked.join(m, "materia_id").select("id", "r", "tipo_entidade", "pol", tokens("corpo").alias("tl"), tokens("texto_entidade").alias("et"))
-    padded = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    at = F.position(padded("et"), padded("tl"))
-    placed = t.withColumn("at", at).withColumn("before", F.when((F.col("r") <= 3) & F.col("tipo_entidade").isin("PER", "ORG") & (F.size("et") > 0) & (F.col("at") > 0), F.expr("size(split(substring(array_join(tl, ' '), 1, at - 1), ' ', -1)) - 1")))
-    start = F.greatest(F.lit(1), F.col("before") + 1 - _SPAN)
-    window = F.when(F.col("before").isNotNull(), F.array_join(F.slice("tl", start, F.least(F.col("before") + F.size("et") + _SPAN, F.size("tl")) - start + 1), " "))
-    scored = placed.select("id", "pol", window.alias("txt")).withColumn("s", T.lexicon_sentiment(F.col("txt")))
+    spaced = lambda c: F.array_join(F.regexp_extract_all(F.lower(c), F.lit(_TOKEN), 0), " ")
+    # Bodies become tokens once, before mentions are joined to them.
+    m = table(spark, folder, "materias").select(F.col("id").alias("materia_id"), spaced("corpo").alias("body"), F.coalesce("sentimento_polaridade", F.lit(0.0)).alias("pol"))
+    t = ranked.join(m, "materia_id").select("id", "pol", ((F.col("r") <= 3) & F.col("tipo_entidade").isin("PER", "ORG")).alias("asked"), F.concat(F.lit(" "), "body", F.lit(" ")).alias("body"), spaced("texto_entidade").alias("name"))
+    t = t.withColumn("at", F.when(F.col("asked") & (F.col("name") != ""), F.position(F.concat(F.lit(" "), "name", F.lit(" ")), F.col("body"))))
+    near = F.concat(F.substring_index(F.trim(F.expr("substring(body, 1, at - 1)")), " ", -_SPAN), F.lit(" "), F.expr(f"substring_index(substring(body, at + 1), ' ', size(split(name, ' ')) + {_SPAN})"))
+    scored = t.select("id", "pol", F.when(F.col("at") > 0, near).alias("txt")).withColumn("s", T.lexicon_sentiment(F.col("txt")))
     return scored.select("id", rounded(F.when(F.col("txt").isNull(), F.col("pol")).otherwise(F.col("s.polarity")), 4).alias("polaridade"))
 
 
