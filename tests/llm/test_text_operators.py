@@ -305,6 +305,39 @@ def test_hot_shards_are_split_without_loss(spark):
     assert len(got) >= 0.97 * 150 and got <= {(2 * i, 2 * i + 1) for i in range(150)}
 
 
+def test_links_do_not_hang_on_the_size_of_a_shard(spark):
+    """A pair that shares one band is found however many others share it, at the threshold as well."""
+    sets = drawn_sets(np.random.default_rng(4), 200, 2_000, 0.49)
+    minima = neardup.sketches(sets)
+    minima[:, ::48] = 7  # one band that all share
+    rows = pd.DataFrame({"rid": range(len(sets)), "key": range(len(sets)), "n": [len(h) for h in sets], "shingles": [h.astype(np.uint32).view(np.int32).tolist() for h in sets], "print": neardup.fingerprints(minima).tolist(), "bands": neardup.bands(minima)[:, :1].tolist()})
+    found = spark.createDataFrame(rows, "rid long, key long, n int, shingles array<int>, print array<long>, bands array<long>")
+    got = {shard: {(r.a, r.b) for r in neardup.near_links(found, 0.48, shard=shard)[1].collect()} for shard in (5_000, 400)}
+    assert got[400] == got[5_000] <= {(2 * i, 2 * i + 1) for i in range(2_000)} and len(got[400]) >= 0.98 * 2_000
+
+
+@pytest.mark.parametrize("radii", [(10, 20), (20, 10)])
+def test_the_larger_radius_decides_in_any_order(spark, radii):
+    rows = [(1, 2, 7, (1 << 15) - 1, 0, 0, 0, radii[0]), (1, 2, 9, 0, 0, 0, 0, radii[1])]
+    for order in (rows, rows[::-1]):
+        shards = spark.createDataFrame(order, "shard long, size long, member long, p0 long, p1 long, p2 long, p3 long, radius int").coalesce(1)
+        assert [tuple(r) for shard in (400, 1) for r in neardup.shard_links(shards, shard).collect()] == [(7, 9)] * 2
+
+
+def test_cells_searched_together_match_one_by_one():
+    rng = random.Random(12)
+    marks = [rng.getrandbits(256) for _ in range(40)]
+    marks += [m ^ sum(1 << b for b in rng.sample(range(256), rng.randrange(0, 30))) for m in marks * 5]
+    radii, stays = [rng.randrange(0, 40) for _ in marks], [rng.random() < 0.5 for _ in marks]
+    near = lambda i, j: (marks[i] ^ marks[j]).bit_count() <= max(radii[i], radii[j])
+    assert 30 < neardup.TOGETHER < 240
+    for k in (30, 240):
+        cell = list(zip(range(k), marks, radii, stays, strict=False))
+        pairs = [(i, j) for j in range(k) for i in range(j) if near(i, j)]
+        assert sorted(map(tuple, neardup.cell_links([(*x[:3], True) for x in cell], True))) == sorted(pairs)
+        assert sorted(map(tuple, neardup.cell_links(cell, False))) == sorted(p for p in pairs if stays[p[0]] != stays[p[1]])
+
+
 @pytest.mark.parametrize("similarity, radius, least, most", [(0.98, 4, 0.0, 0.5), (0.8, None, 0.95, 1.0), (0.5, None, 0.95, 1.0)])
 def test_share_of_nodes_that_a_tree_visits(similarity, radius, least, most):
     """Why the bands, not the trees, do the work at half: the radius that half needs follows nearly every edge."""
