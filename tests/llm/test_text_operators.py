@@ -493,6 +493,18 @@ def test_counts_by_page_and_host_find_stitched_pages(spark):
     assert flagged(2) == {*range(8), 100} and len(flagged(99)) < len(flagged(2))
 
 
+def test_each_host_counts_once(spark):
+    """Keywords that three hosts press stay keywords, though one host with many pages says each once."""
+    rng = random.Random(24)
+    keys = [f"{word(rng)} {word(rng)}" for _ in range(6)]
+    said = lambda k: f"{k} {word(rng)}"
+    loud = [(i, "\n".join(said(k) for k in keys for _ in range(2)), f"h{i}") for i in range(3)]
+    lists = [(100 + i, "\n".join([said(keys[i % 6]), *(f"{word(rng)} {word(rng)} {word(rng)}" for _ in range(19))]), "h9") for i in range(60)]
+    df = spark.createDataFrame(loud + lists, "doc_id long, text string, source string")
+    found = lambda hosts: spam.spam_pages(df, hosts=hosts).where("spam").collect()
+    assert {r.key for r in found(2)} == {0, 1, 2} and all(r.replicated >= 0.25 and not r.pressed for r in found(2)) and not found(99)
+
+
 def test_long_texts(spark):
     long = "\n".join(body(random.Random(1), 3000))
     df = frame(spark, [(1, 1, "t", long), (2, 1, "t", "x" * 500_000)])
