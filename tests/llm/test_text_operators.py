@@ -32,6 +32,19 @@ def frame(spark, rows):
 EMPTY = [(1, 1, None, None), (2, None, "", ""), (3, 1, "t", "\n\n \n"), (None, 1, "t", "Fim.")]
 
 
+def test_line_keys_match_the_pattern_of_digits():
+    lines = ["Leia  em 3 MIN:", " 12 - ", "٣٤ teste ١٢.", "ΣΑΣ 12:", "É 😀 12 — “x” 3", "x\u00a01\u2009²³ ½ 5)", "१ um", "\ud800 7", "", "a1b2"]
+    want = [text.DIGITS.sub("", "".join(x.lower().split())).rstrip(text.CLOSING) for x in lines]
+    assert text.line_keys("\n".join(lines)) == [text.line_keys(x)[0] for x in lines] == list(map(text.line_key, lines)) == want
+
+
+def test_no_hint_of_residue_is_overlooked():
+    lines = [f"{a}{hint}{b}" for hint in (*residue.HINTS, "Internal Server Error", "completar depois") for a in ("", "Um. ", "é", "“", "http\u00a0", "…\u2009", "digite o texto ") for b in ("", " n", "\u00a0página", "é", "4 não", "3—not")]
+    lines += [x.upper() for x in lines] + ["uma linha sem nada", "İ", "erro\nerro", "404\npágina"]
+    asked = residue.looked(lines)
+    assert {x for x in lines if residue._hinted(x.lower())} <= asked and "uma linha sem nada" not in asked
+
+
 def test_line_keys():
     assert text.line_key("Leia  em 3 MIN:") == text.line_key("leia em 12 min") and text.line_key(" 12 - ") == ""
     assert text.words("Olho-d'Água, É­ TESTE") == ["olho", "d", "agua", "e", "teste"]
@@ -316,6 +329,58 @@ def test_links_do_not_hang_on_the_size_of_a_shard(spark):
     assert got[400] == got[5_000] <= {(2 * i, 2 * i + 1) for i in range(2_000)} and len(got[400]) >= 0.98 * 2_000
 
 
+def shuffled_records(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_bands_are_not_shuffled_one_by_one(spark):
+    sets = drawn_sets(np.random.default_rng(6), 100, 1_000, 0.6)
+    minima = neardup.sketches(sets)
+    rows = pd.DataFrame({"rid": range(len(sets)), "key": range(len(sets)), "n": [len(h) for h in sets], "shingles": [h.astype(np.uint32).view(np.int32).tolist() for h in sets], "print": neardup.fingerprints(minima).tolist(), "bands": neardup.bands(minima).tolist()})
+    found = neardup.stash(spark.createDataFrame(rows, "rid long, key long, n int, shingles array<int>, print array<long>, bands array<long>"))
+    before = shuffled_records(spark)
+    assert neardup.near_links(found, 0.48)[1].count() >= 0.99 * 1_000
+    # The 96,000 bands leave their tasks in pieces; what else moves are rows, candidates and links.
+    assert shuffled_records(spark) - before < 48 * len(sets)
+
+
+@pytest.mark.parametrize("as_bytes", [False, True])
+def test_shared_bands_match_brute_force(spark, monkeypatch, as_bytes):
+    monkeypatch.setattr(neardup, "BUCKET", 40)
+    monkeypatch.setattr(neardup, "DEALT", 100)
+    rng = np.random.default_rng(7)
+    held = [rng.integers(-(2**63), 2**63, 400)[rng.integers(0, 400, rng.integers(0, 9))] for _ in range(300)]
+    held = [np.unique(np.r_[h, np.int64(5)]) if i % 3 else h[:0] for i, h in enumerate(held)]
+    want = Counter(int(b) for h in held for b in h)
+    rows = [(i, bytearray(h.tobytes()) if as_bytes else h.tolist()) for i, h in enumerate(held)]
+    frame_ = spark.createDataFrame(rows, f"rid long, bands {'binary' if as_bytes else 'array<long>'}").repartition(3)
+    got = sorted(map(tuple, neardup.shared_bands(frame_, len(rows)).collect()))
+    assert got == sorted((int(b), want[int(b)], i) for i, h in enumerate(held) for b in h if want[int(b)] > 1)
+
+
+@pytest.mark.parametrize("as_bytes", [False, True])
+def test_similarities_match_brute_force(spark, as_bytes):
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50), dtype=np.uint32) * np.uint32(70_000_003)) for _ in range(60)]
+    cell = [bytearray(h.tobytes()) if as_bytes else h.view(np.int32).tolist() for h in sets]
+    kind = "binary" if as_bytes else "array<int>"
+    pairs = spark.createDataFrame([(a, b, cell[a], cell[b]) for a in range(60) for b in range(a)], f"a long, b long, set_a {kind}, set_b {kind}")
+    of = lambda a, b: len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist()))
+    want = sorted((a, b, s) for a in range(60) for b in range(a) if (s := of(sets[a], sets[b])) >= 0.3)
+    assert sorted(map(tuple, neardup.similarities(pairs, 0.3).collect())) == want and want
+
+
+def test_windows_of_many_texts_match_one_by_one():
+    said = [[], ["a"], "a b".split(), "a b c a b c a b".split(), "d e f g".split(), "b c".split()]
+    for width in (1, 3, 9, 40):
+        hashes, sizes = neardup.unique_windows(said, width)
+        want = [np.unique(text.window_hashes(np.array([text.word_hash(w) for w in s], np.uint64), width).astype(np.uint32)) for s in said]
+        assert sizes.tolist() == [len(w) for w in want] and hashes.tolist() == np.concatenate(want).tolist()
+
+
 @pytest.mark.parametrize("radii", [(10, 20), (20, 10)])
 def test_the_larger_radius_decides_in_any_order(spark, radii):
     rows = [(1, 2, 7, (1 << 15) - 1, 0, 0, 0, radii[0]), (1, 2, 9, 0, 0, 0, 0, radii[1])]
